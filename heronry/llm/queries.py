@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heronry.llm import bpe, embedding_dedup, html_extract, quality_rules, simhash_dedup
+from heronry.llm import bpe, embedding_dedup, html_extract, mixing, quality_rules, sharding, simhash_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,19 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), path=None)
 
@@ -39,6 +53,9 @@ QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_html_extract": op5_html_extract,
+    "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
