@@ -100,26 +100,34 @@ def detokenize(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     )
 
 
-def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """Rows ``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row of ``docs``.
 
     As ``tokenize``, but the ids and bytes of a document are hashed where they
-    are made, so that neither leaves the worker: the hashes are of the decimal
-    ids joined by commas and of the decoded bytes, in lower-case hex.
+    are made, so that the bytes, and without ``with_ids`` the ids, don't leave
+    the worker. The hashes are of the decimal ids joined by commas and of the
+    decoded bytes, in lower-case hex.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = path or public_tokenizers.path(RANKS)
         made, decimal = encoding(at, pattern)
         for b in batches:
-            n, left, right = [], [], []
-            for cell in b.column(1):
-                ids = encode(cell.as_py() or "", at, pattern)
-                n.append(len(ids))
-                left.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
-                right.append(hashlib.sha256(made.decode_bytes(ids)).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+            for i in range(0, b.num_rows, 512):
+                part, n, left, right, kept = b.slice(i, 512), [], [], [], []
+                for cell in part.column(1):
+                    ids = encode(cell.as_py() or "", at, pattern)
+                    n.append(len(ids))
+                    left.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
+                    right.append(hashlib.sha256(made.decode_bytes(ids)).hexdigest())
+                    if with_ids:
+                        kept.append(ids)
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.record_batch(columns, names=names)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

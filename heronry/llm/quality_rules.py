@@ -208,8 +208,9 @@ def judge(
     the base rules, rows of null id are judged like any other, repeated rows
     each give a row, and an empty table gives none.
     """
-    from_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"))
-    counts = cut(base_counts(from_docs, keep=("stratum",)), "base-counts")
+    text = F.col(text_col).cast("string")
+    from_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    counts = cut(base_counts(from_docs, keep=("stratum", "text_hash")), "base-counts")
     fitted = fit_cutoffs(counts, labels, **fit).where("cutoff is not null")
     wide = cut(fitted.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")), "cutoffs")
     joined = counts.alias("d").join(small_or_not(wide, 100_000).alias("c"), F.col("d.stratum").eqNullSafe(F.col("c.stratum")), "left").select("d.*", "cutoffs")
@@ -224,4 +225,22 @@ def judge(
         "base_failed",
         (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"),
         "rejected_by",
+        "stratum",
+        "text_hash",
     )
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **fit) -> DataFrame:
+    """``docs`` without the rows that ``judge`` rejects; columns pass unchanged.
+
+    Rejected rows are found again by id, stratum and a hash of the text, so
+    rows that share an id are judged each on its own text.
+    """
+    verdicts = judge(docs, labels, id_col, text_col, stratum_col, **fit)
+    gone = cut(verdicts.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("stratum").alias("__stratum")).distinct(), "rejected")
+    same = (
+        F.col(id_col).eqNullSafe(F.col("__id"))
+        & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+        & F.col(stratum_col).cast("string").eqNullSafe(F.col("__stratum"))
+    )
+    return docs.join(small_or_not(gone), same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm import bpe, embedding_dedup, html_extract, mixing, quality_rules, sharding, simhash_dedup, url_filter
+from heronry.llm import bpe, chat_format, embedding_dedup, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,18 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -46,12 +54,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("stratum", "text_hash")
 
 
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_chat_format": op4_chat_format,
     "op5_html_extract": op5_html_extract,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
@@ -60,4 +70,16 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The tables hold no tool calls: every turn is a message.
+OP4_SQL = """
+SELECT conv_id, turn,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, line) - 1 AS BIGINT) AS position,
+       role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
+       CASE WHEN coalesce(text, '') = '' THEN 'empty' ELSE 'ok' END AS status, line
+FROM (
+  SELECT *, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS line
+  FROM conversations
+)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}
