@@ -28,8 +28,9 @@ def maxsim_relational(tokens: DataFrame, queries: DataFrame, doc: Sequence[str]
     The queries are few and broadcast; each pair of a query token and a
     document has its best product kept, and these are summed by document.
     """
-    pairs = tokens.crossJoin(F.broadcast(queries.select("query_id", "pos", F.col("vector").alias("__q"))))
-    best = pairs.groupBy("query_id", "pos", *doc).agg(F.max(dot(F.col("vector"), F.col("__q"))).alias("best"))
+    asked = queries.select("query_id", F.col("pos").alias("__pos"), F.col("vector").alias("__q"))
+    pairs = tokens.select(*doc, "vector").crossJoin(F.broadcast(asked))
+    best = pairs.groupBy("query_id", "__pos", *doc).agg(F.max(dot(F.col("vector"), F.col("__q"))).alias("best"))
     return best.groupBy("query_id", *doc).agg(F.sum("best").alias(score))
 
 
