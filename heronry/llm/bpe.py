@@ -2,8 +2,10 @@
 
 Ranks are read from a file whose path is a parameter; nothing is trained or
 fetched. Long texts are encoded in pieces that end where the splitting pattern
-always ends a match: between a letter or digit and following white space. Ids
-are therefore those of the whole text.
+always ends a match: between a letter or digit and following white space. Very
+long runs of white space, which would exhaust the pattern engine's stack, are
+one match each by the pattern's own rule and go to the merges directly. Ids are
+therefore those of the whole text.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_CHARS = 1 << 16
 #: A boundary that no match of the splitting pattern spans: after a letter or digit none goes on over white space.
 _SAFE = re.compile(r"(?<=[^\W_])(?=[ \t\r\n])")
+#: Runs of white space, as the pattern engine defines it, that are not given to it.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{8192,}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,17 +52,33 @@ def pieces(text: str, chars: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(text: str, path: str, pattern: str = public_tokenizers.PATTERN, chars: int = PIECE_CHARS) -> list[int]:
-    """The ids of a whole text, without special tokens."""
-    made, _ = encoding(path, pattern)
-    if len(text) <= chars:
-        return made.encode_ordinary(text)
+def _encode_spaced(made: tiktoken.Encoding, text: str, chars: int) -> list[int]:
+    """The ids of ``text``, whose long runs of white space are merged without the pattern.
+
+    The pattern takes a run as one match, but for its last character if text
+    follows; before a run it always ends a match.
+    """
     ids: list[int] = []
-    for piece in pieces(text, chars):
+    start = 0
+    for run in _LONG_SPACE.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        for piece in pieces(text[start : run.start()], chars):
+            ids.extend(made.encode_ordinary(piece))
+        ids.extend(made._core_bpe.encode_single_piece(text[run.start() : stop].encode()))
+        start = stop
+    for piece in pieces(text[start:], chars):
         ids.extend(made.encode_ordinary(piece))
     return ids
 
 
+def encode(text: str, path: str, pattern: str = public_tokenizers.PATTERN, chars: int = PIECE_CHARS) -> list[int]:
+    """The ids of a whole text, without special tokens; texts are split only for the pattern that the boundaries are made for."""
+    made, _ = encoding(path, pattern)
+    if len(text) <= min(chars, 8192) or pattern != public_tokenizers.PATTERN:
+        return made.encode_ordinary(text)
+    return _encode_spaced(made, text, chars)
+
+
 def decode(ids: list[int], path: str, pattern: str = public_tokenizers.PATTERN) -> bytes:
     """The raw bytes that ``ids`` stand for; they need not be valid UTF-8."""
     return encoding(path, pattern)[0].decode_bytes(ids)
