@@ -7,7 +7,8 @@ to the strictest, a cutoff is accepted while an exact binomial test shows the
 rate of good documents it rejects to be below the permitted risk, and the walk
 ends at the first that fails (fixed-sequence testing, which needs no
 correction along the grid). The error level is divided by the number of strata
-and rules (Bonferroni), and the risk among the rules of a stratum.
+and rules (Bonferroni), so that all accepted cutoffs hold at once; of them the
+one is taken that tells bad documents from good ones best.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from heronry.llm.scratch import cut, small_or_not
 
-#: Good documents of a stratum that all rules together may reject, and the chance that they reject more.
+#: Share of a stratum's good documents that one rule may reject, and the chance that any rule of any stratum rejects more.
 RISK, ERROR = 0.02, 0.05
+#: Share of bad documents among the labelled ones that a cutoff rejects, at least.
+PRECISION = 0.9
 #: Cutoffs on the grid of each rule.
 STEPS = 400
 _SPACE = " \\t-\\r"
@@ -139,56 +142,54 @@ def fit_cutoffs(
     good: str = "quality = 1",
     risk: float = RISK,
     error: float = ERROR,
+    precision: float = PRECISION,
     steps: int = STEPS,
 ) -> DataFrame:
-    """Rows ``(stratum, rule, cutoff, n_good, allowed)`` from the labelled rows of ``counts``.
-
-    ``cutoff`` is null if the labels of a stratum are too few to show any of
-    the rule's cutoffs safe; the rule then rejects nothing there. Documents
-    that the base rules reject are not counted, nor are rows whose label is
-    null. All labelled rows are used; counts of them, by grid step, are what is
-    shuffled.
+    """Rows ``(stratum, rule, cutoff, n_good, n_bad, allowed)`` from the labelled rows of ``counts``.
+
+    ``cutoff`` is null where the rule rejects nothing: if the labels of a
+    stratum are too few to show any of its cutoffs safe, or if bad documents
+    are less than ``precision`` of what each safe one rejects. Else it is the
+    one of these with the largest difference between the rejected shares of bad
+    and good documents, in the middle of those that reject the same ones. Documents that the base
+    rules reject are not counted, nor are null labels; a document with
+    contradicting labels is good. All labelled rows are used; counts of them,
+    by grid step, are what is shuffled.
     """
-    labelled = counts.where("not base_failed").join(labels.where(good).select("doc_id").distinct(), "doc_id", "left_semi")
+    marks = labels.select("doc_id", F.expr(good).alias("good")).where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
+    labelled = counts.where("not base_failed").join(marks, "doc_id")
     steps_of = F.explode(
         F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.lit(1.0), F.expr(e).cast("double")).alias("measure")) for r, e in RULES.items()))
     )
     # the step of a measure: the number of grid cutoffs below it, which would reject it
     binned = (
-        labelled.select(F.col(stratum).alias("stratum"), steps_of.alias("x"))
+        labelled.select(F.col(stratum).alias("stratum"), "good", steps_of.alias("x"))
         .groupBy("stratum", F.col("x.rule").alias("rule"), F.ceil(F.col("x.measure") * steps).cast("long").alias("step"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.count_if("good").alias("goods"), F.count_if(~F.col("good")).alias("bads"))
     )
     n_strata = binned.agg(F.count_distinct(F.coalesce(F.col("stratum"), F.lit("\u0000"))).alias("n_strata"))
-    cell = Window.partitionBy("stratum", "rule")
-    counted = (
-        binned.withColumn("n_good", F.sum("n").over(cell))
-        # rejected by the cutoff (step - 1) / steps: all whose step is this or a higher one
-        .withColumn("rejected", F.sum("n").over(cell.orderBy(F.desc("step"))))
-        .withColumn("next", F.coalesce(F.lead("step").over(cell.orderBy(F.desc("step"))), F.lit(0)))
-    )
     limits = (
         binned.groupBy("stratum", "rule")
-        .agg(F.sum("n").alias("n_good"))
-        .crossJoin(F.broadcast(n_strata))
-        .withColumn(
-            "allowed",
-            allowed_rejections(F.col("n_good"), F.lit(risk / len(RULES)), F.lit(error) / (F.col("n_strata") * len(RULES))),
-        )
+        .agg(F.sum("goods").alias("n_good"), F.sum("bads").alias("n_bad"))
+        .crossJoin(F.broadcast(n_strata))  # a single row
+        .withColumn("allowed", allowed_rejections(F.col("n_good"), F.lit(risk), F.lit(error) / (F.col("n_strata") * len(RULES))))
+    )
+    # the cutoffs between a step and the next lower one reject all whose step is this or a higher one
+    falling = Window.partitionBy("stratum", "rule").orderBy(F.desc("step"))
+    walk = (
+        binned.withColumn("rejected", F.sum("goods").over(falling))
+        .withColumn("caught", F.sum("bads").over(falling))
+        .withColumn("below", F.coalesce(F.lead("step").over(falling), F.lit(0)))
     )
     same = F.col("c.stratum").eqNullSafe(F.col("l.stratum")) & (F.col("c.rule") == F.col("l.rule"))
-    # the loosest cutoff, 1, rejects none; below the highest step that may not be rejected no cutoff is tested
-    stop = counted.alias("c").join(F.broadcast(limits).alias("l"), same).where("c.rejected > l.allowed").groupBy(F.col("c.stratum").alias("stratum"), F.col("c.rule").alias("rule")).agg(F.max("c.step").alias("stop"))
+    gain = F.try_divide("caught", "n_bad") - F.try_divide("rejected", "n_good")
+    safe = walk.alias("c").join(limits.alias("l"), same).where("rejected <= allowed and step > 0").select("c.*", gain.alias("gain"))
+    best = safe.where((F.col("gain") > 0) & (F.col("caught") >= precision * (F.col("caught") + F.col("rejected")))).groupBy("stratum", "rule").agg(F.max(F.struct("gain", "step", "below")).alias("b"))
+    middle = F.expr("(b.below + b.step - 1) / 2") / F.lit(float(steps))
     return (
         limits.alias("l")
-        .join(F.broadcast(stop).alias("s"), F.col("l.stratum").eqNullSafe(F.col("s.stratum")) & (F.col("l.rule") == F.col("s.rule")), "left")
-        .select(
-            "l.stratum",
-            "l.rule",
-            F.when(F.col("allowed") >= 0, F.coalesce(F.col("stop"), F.lit(0)) / F.lit(float(steps))).alias("cutoff"),
-            "n_good",
-            "allowed",
-        )
+        .join(best.alias("c"), same, "left")
+        .select("l.stratum", "l.rule", F.when(F.col("b").isNotNull(), middle).alias("cutoff"), "n_good", "n_bad", "allowed")
     )
 
 
