@@ -31,6 +31,8 @@ _BLOCK = frozenset(
     "html body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article main blockquote pre figure figcaption address details summary fieldset hgroup center hr".split()
 ) | _SKIP
 _CONTAINER = frozenset("body main article section div td blockquote center".split())
+#: Elements that are an article by their meaning.
+_ARTICLE = frozenset("article main".split())
 #: Elements that a start tag of the same kind ends.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body table td th ul ol dl article section div main".split())
@@ -39,6 +41,8 @@ _NOISE = re.compile(
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|discussion|widget|toolbar|pagination|pager|skip-link|copyright|disclaimer|tags)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell whether a layout has such a part, not that this is one.
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[-_]\S+", re.I)
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
@@ -67,7 +71,7 @@ def _named(tag: str, attrs: str) -> tuple[str, bool]:
         if kind == "role":
             noise |= value.strip().lower() in _NOISE_ROLE
         else:
-            noise |= tag not in ("html", "body", "article", "main") and bool(_NOISE.search(value))
+            noise |= tag not in ("html", "body", "article", "main") and bool(_NOISE.search(_LAYOUT.sub("", value)))
             if kind == "class":
                 classes = value
     names = sorted({re.sub(r"[-_]*(?:\d[\da-f]*)+$|\d+", "", c.lower()) for c in classes.split()} - {""})
@@ -171,13 +175,24 @@ def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
     return blocks, containers or [root]
 
 
+def _best(containers: list[_Node]) -> _Node:
+    """The container with the highest score, or the article around it; the first of equals."""
+    top = max(containers, key=lambda n: n.score)
+    node: _Node | None = top
+    while node is not None:
+        if node.tag in _ARTICLE:
+            top = node
+        node = node.parent
+    return top
+
+
 def best_container(page: str | None) -> tuple[str, float] | None:
     """The path and score of the container that holds most of a page's text; None without text."""
     blocks, containers = parse(page or "")
     if not blocks:
         return None
-    top = max(containers, key=lambda n: n.score)
-    return top.path(), top.score
+    top = _best(containers)
+    return top.path(), max(n.score for n in containers)
 
 
 def main_text(page: str | None, paths: list[str] | None = None) -> str:
@@ -192,7 +207,7 @@ def main_text(page: str | None, paths: list[str] | None = None) -> str:
     by_path: dict[str, set[int]] = {}
     for n in containers:
         by_path.setdefault(n.path(), set()).add(id(n))
-    top = max(containers, key=lambda n: n.score)
+    top = _best(containers)
     for chosen in [by_path[p] for p in paths or () if p in by_path] + [{id(top)}]:
         inside: dict[int, bool] = {}
 

@@ -239,9 +239,10 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     verdicts = judge(docs, labels, id_col, text_col, stratum_col, **fit)
     gone = cut(verdicts.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("stratum").alias("__stratum")).distinct(), "rejected")
+    gone = small_or_not(gone)
     same = (
-        F.col(id_col).eqNullSafe(F.col("__id"))
-        & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
-        & F.col(stratum_col).cast("string").eqNullSafe(F.col("__stratum"))
+        docs[id_col].eqNullSafe(gone["__id"])
+        & (F.xxhash64(docs[text_col].cast("string")) == gone["__hash"])
+        & docs[stratum_col].cast("string").eqNullSafe(gone["__stratum"])
     )
-    return docs.join(small_or_not(gone), same, "left_anti")
+    return docs.join(gone, same, "left_anti")

@@ -270,4 +270,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     groups = simhash_groups(docs, id_col, text_col, **options)
     gone = cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
-    return docs.join(small_or_not(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = small_or_not(gone)
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
