@@ -1,0 +1,77 @@
+"""Vector groups against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heronry.llm.embedding_dedup import embedding_groups, spherical_kmeans
+
+SCHEMA = "vec_id long, label string, embedding array<float>"
+
+
+def brute(rows, threshold=0.93):
+    def good(r):
+        return r[0] is not None and r[1] is not None and r[2] and None not in r[2] and np.isfinite(r[2]).all() and np.any(r[2])
+
+    unit = [np.array(r[2], np.float64) / np.linalg.norm(np.array(r[2], np.float64)) if good(r) else None for r in rows]
+    links, root = [0] * len(rows), {r[0]: r[0] for r in rows if r[0] is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if i != j and unit[i] is not None and unit[j] is not None and a[1] == b[1] and len(a[2]) == len(b[2]) and unit[i] @ unit[j] >= threshold:
+                links[i] += 1
+                x, y = find(a[0]), find(b[0])
+                root[max(x, y)] = min(x, y)
+    return sorted(((r[0], n, None if r[0] is None else find(r[0])) for r, n in zip(rows, links, strict=True)), key=repr)
+
+
+def random_rows(seed, n, dim=16, labels=3):
+    g = np.random.default_rng(seed)
+    centres = g.normal(size=(12, dim))
+    rows = []
+    for i in range(n):
+        v = centres[g.integers(12)] + g.normal(size=dim) * g.choice([0.0, 0.1, 0.3, 0.6])
+        rows.append((i * 3 + 1, f"l{g.integers(labels)}", np.float32(v * g.choice([0.001, 1, 1e6])).tolist()))
+    return [rows[i] for i in g.permutation(n)]
+
+
+@pytest.mark.parametrize(("cell_rows", "tile_rows"), [(16_384, 2048), (20, 7)])
+def test_groups_equal_brute_force(spark, cell_rows, tile_rows):
+    """Small cells and tiles make many pairs of tiles, of which some are left out as too far apart."""
+    rows = random_rows(4, 300)
+    got = embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), cell_rows=cell_rows, tile_rows=tile_rows).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_odd_vectors_link_with_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    v = [1.0, 2.0, 3.0]
+    rows = [
+        (1, "a", v), (2, "a", v), (3, None, v), (4, "a", None), (5, "a", []), (6, "a", [0.0, 0.0, 0.0]), (7, "a", [1.0, None, 3.0]), (8, "a", [nan, 2.0, 3.0]),
+        (9, "a", [inf, 2.0, 3.0]), (10, "b", v), (11, "a", [2.0, 4.0, 6.0]), (12, "a", [1.0, 2.0]), (13, "a", [-0.0, 0.0, 1.0]), (14, "a", [0.0, 0.0, 1.0]), (15, "a", [3e38, 3e38, 3e38]), (16, "a", [1e-38, 1e-38, 1e-38]), (2, "a", v),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("gid", F.lit("g")).withColumn("rep", F.lit("r")).withColumn("n_links", F.lit("n"))
+    got = embedding_groups(df)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    found = sorted(((r.vec_id, r.n_links, r.component_id) for r in got.collect()), key=repr)
+    assert found == brute(rows)
+
+
+def test_null_id_and_empty_table(spark):
+    got = embedding_groups(spark.createDataFrame([(None, "a", [1.0]), (5, "a", [1.0])], SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=repr) == [(5, 0, 5, True), (None, 0, None, True)]
+    assert embedding_groups(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_kmeans_gives_unit_centroids():
+    g = np.random.default_rng(0)
+    x = g.normal(size=(200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = spherical_kmeans(x, 5)
+    assert np.allclose(np.linalg.norm(c, axis=1), 1)

@@ -1,0 +1,55 @@
+"""Shards by prefix sums: sizes, slots and order."""
+
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from heronry.llm.sharding import assign_shards, write_shards
+
+
+def rows(n=500):
+    hot = [(i, "same text") for i in range(n // 3)]
+    return hot + [(i, "x" * (i * 7 % 300)) for i in range(n // 3, n)] + [(n, None), (n + 1, ""), (n + 2, "é" * 40)]
+
+
+@pytest.mark.parametrize("n_shards", [1, 7, 40])
+def test_shards_are_balanced_and_slots_gapless(spark, n_shards):
+    data = rows()
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("size", F.lit("s")).withColumn("h", F.lit(0)).repartition(6)
+    got = assign_shards(df, n_shards).collect()
+    assert len(got) == len(data)
+    size = {i: len((t or "").encode()) + 16 for i, t in data}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == {i: (size[i], zlib.crc32((t or "").encode())) for i, t in data}
+    slots, total = defaultdict(list), defaultdict(int)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        total[r.shard] += r["size"]
+    assert set(slots) <= set(range(n_shards))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    equal = sum(size.values()) / n_shards
+    assert all(abs(total[s] - equal) <= max(size.values()) for s in range(n_shards))
+
+
+def test_partitions_do_not_matter(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    a, b = (sorted(map(tuple, assign_shards(df.repartition(n), 9).collect())) for n in (1, 11))
+    assert a == b
+
+
+def test_repeats_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(1, "a")] * 5 + [(None, None)] * 2, "doc_id long, text string")
+    got = assign_shards(df, 2).collect()
+    assert len(got) == 7 and len({(r.shard, r.slot) for r in got}) == 7
+    assert assign_shards(df.where("false"), 40).collect() == []
+    with pytest.raises(ValueError):
+        assign_shards(df, 0)
+
+
+def test_written_shards_hold_every_document(spark, tmp_path):
+    df = spark.createDataFrame(rows(60), "doc_id long, text string")
+    write_shards(df, str(tmp_path / "shards"), 4, rows_per_file=10)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(r.doc_id for r in back.collect()) == sorted(i for i, _ in rows(60))
+    assert {r["shard"] for r in back.collect()} <= set(range(4))

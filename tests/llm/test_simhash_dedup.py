@@ -1,0 +1,123 @@
+"""Fingerprints and groups against brute force."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from heronry.llm.components import connected_components
+from heronry.llm.simhash_dedup import fingerprint, first_masks, linked_rows, simhash_dedup, simhash_groups
+
+
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    k = min(3, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def slow_components(ids, fps, radius=3):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in zip(ids, fps, strict=True):
+        for j, b in zip(ids, fps, strict=True):
+            if (a ^ b).bit_count() <= radius:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+TEXTS = [None, "", " \t\n", "One", "one", "A B", "a b c", "A  B\nC", "É é", "ÀB c d e f", " x y z w", "word " * 50_000]
+
+
+@pytest.mark.parametrize("text", TEXTS, ids=range(len(TEXTS)))
+def test_fingerprint(text):
+    assert fingerprint(None if text is None else text.encode()) == slow_fingerprint(text)
+
+
+def test_random_fingerprints():
+    r = random.Random(5)
+    for _ in range(50):
+        text = "".join(r.choice(["a", "B", "é", " ", "\n", "\x0b", "\x1c", "日本"]) for _ in range(r.randrange(200)))
+        assert fingerprint(text.encode()) == slow_fingerprint(text)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_links_equal_brute_force(radius):
+    r = np.random.default_rng(radius)
+    base = r.integers(0, 1 << 63, 40, np.uint64)
+    flips = [int(b) ^ sum(1 << int(p) for p in r.choice(64, r.integers(0, 7), replace=False)) for b in np.repeat(base, 15)]
+    fps = np.unique(np.array(flips, np.uint64))
+    got = {(i, int(j)) for i, js in linked_rows(fps, radius, rows=64) for j in js}
+    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= radius}
+
+
+@pytest.mark.parametrize("n", [10, 100_000, 10**7, 10**10, 10**14])
+def test_masks_leave_no_link_out(n):
+    r = random.Random(n)
+    masks = first_masks(n, 3)
+    for _ in range(2000):
+        flips = sum(1 << p for p in r.sample(range(64), 3))
+        assert any(not flips & m for m in masks)
+
+
+def documents(seed=1, n=300):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(n):
+        if texts and r.random() < 0.5:
+            t = r.choice(texts).split(" ")
+            for _ in range(r.randrange(3)):
+                t[r.randrange(len(t))] = r.choice(words)
+            texts.append(" ".join(t))
+        else:
+            texts.append(" ".join(r.choice(words) for _ in range(r.randrange(1, 150))))
+    return texts
+
+
+@pytest.mark.parametrize("bucket_rows", [8192, 4])
+def test_groups_equal_brute_force(spark, bucket_rows):
+    """Small buckets force the splitting of large ones."""
+    texts = documents() + [None, "", "  "]
+    ids = random.Random(2).sample(range(10_000), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    fps = [slow_fingerprint(t) for t in texts]
+    expected = slow_components(ids, fps)
+    got = {r.doc_id: r for r in simhash_groups(df, bucket_rows=bucket_rows).collect()}
+    assert len(got) == len(ids)
+    assert {i: int(got[i].fingerprint, 16) for i in ids} == dict(zip(ids, fps, strict=True))
+    assert {i: got[i].component_id for i in ids} == expected
+    assert all(re.fullmatch("[0-9a-f]{16}", x.fingerprint) for x in got.values())
+
+
+def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
+    rows = [(3, "a b c d", "x"), (1, "A b  c d", "y"), (2, "quite another text here", "z"), (None, "a b c d", "n"), (2, "quite another text here", "z2"), (9, None, "e"), (8, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("__gone", F.lit(1)).withColumn("component_id", F.lit(2))
+    out = simhash_dedup(df)
+    assert out.columns == df.columns
+    assert sorted(r.fp for r in out.collect()) == ["e", "n", "y", "z", "z2"]
+    assert [r.doc_id for r in out.where("fp = 'e'").collect()] == [8]
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash_groups(empty).collect() == []
+    assert simhash_dedup(empty).collect() == []
+
+
+def test_components_of_chains_stars_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 200)] + [(300, 300), (7, None), (400, 399), (399, 400)]
+    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 200)} | {400: 399}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
