@@ -1,0 +1,111 @@
+"""Counts against brute force, bounds against the binomial distribution, and the choice of cutoffs."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from heronry.llm.quality_rules import allowed_rejections, base_counts, fit_cutoffs, judge, keep_accepted
+
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated), n < 50 or 100 * len(repeated) > 50 * n)
+
+
+def odd_texts():
+    r = random.Random(9)
+    made = ["".join(r.choice(["a", "b", "é", "👍", " ", " ", "\n", "\t", "\x0b", "\x1c", "#", "|", "\r\n", "\xa0"]) for _ in range(r.randrange(400))) for _ in range(150)]
+    same = [" ".join(r.choice("ab") for _ in range(r.randrange(12))) for _ in range(60)]
+    return [None, "", " ", "\n\n", "a", "a b c", "a b c a b c", "x x x x", "x\nx\n\nx \nx", "long word " * 30_000, "é" * 100_000, *made, *same]
+
+
+def test_counts_equal_brute_force(spark):
+    texts = odd_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_words", F.lit("x"))
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in base_counts(df).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("n", "risk", "error"), [(0, 0.02, 0.05), (10, 0.02, 0.05), (149, 0.02, 0.05), (150, 0.02, 0.05), (1000, 0.02, 0.003), (5000, 0.005, 0.001), (100_000, 0.02, 0.01)])
+def test_bound_is_exact(spark, n, risk, error):
+    def log_term(k):
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(risk) + (n - k) * math.log1p(-risk)
+
+    best, total = -1, 0.0
+    for k in range(n + 1):
+        total += math.exp(log_term(k))
+        if total > error:
+            break
+        best = k
+    df = spark.createDataFrame([(n,)], "n long")
+    assert df.select(allowed_rejections(F.col("n"), F.lit(risk), F.lit(error))).first()[0] == best
+
+
+def text_of(r, junk):
+    words = [f"{r.choice('abcdefgh')}{r.randrange(900)}" for _ in range(80)]
+    return " ".join(w + "###" if junk else w for w in words)
+
+
+def labelled(spark, n, seed=1):
+    """Documents of two languages, a tenth of them full of symbols, and their labels."""
+    r = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        junk = i % 10 == 0
+        docs.append((i, text_of(r, junk), "en" if i % 4 else None))
+        labels.append((i, int(not junk)))
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_cutoffs_separate_and_keep_the_promise(spark):
+    docs, labels = labelled(spark, 4000)
+    got = {r.doc_id: r for r in judge(docs, labels).collect()}
+    assert len(got) == 4000
+    assert {i for i, r in got.items() if not r.kept} == set(range(0, 4000, 10))
+    assert {tuple(r.rejected_by) for r in got.values() if not r.kept} == {("symbols",)}
+
+
+def test_few_labels_reject_nothing_but_by_the_base_rules(spark):
+    docs, labels = labelled(spark, 100)
+    assert all(r.kept != r.base_failed for r in judge(docs, labels).collect())
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert all(r.kept != r.base_failed for r in judge(docs, none).collect())
+
+
+def test_labels_that_say_nothing_reject_nothing(spark):
+    docs, labels = labelled(spark, 3000)
+    coin = labels.withColumn("quality", F.when(F.col("doc_id") % 7 < 5, 1).otherwise(0))
+    assert all(r.kept != r.base_failed for r in judge(docs, coin).collect())
+
+
+def test_strata_are_separate(spark):
+    docs, labels = labelled(spark, 4000)
+    counts = base_counts(docs.withColumn("stratum", F.col("lang")), keep=("stratum",))
+    cut = {(r.stratum, r.rule): r.cutoff for r in fit_cutoffs(counts, labels.where("doc_id % 4 <> 0")).collect()}
+    assert {s for s, _ in cut} == {"en"}
+    assert cut["en", "symbols"] is not None and cut["en", "repeats"] is None
+
+
+def test_nulls_repeats_clashes_and_nothing(spark):
+    r = random.Random(3)
+    good = text_of(r, False)
+    rows = [(1, good, "en"), (1, good, "en"), (1, "short", "en"), (None, good, None), (None, None, None), (2, "", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("stratum", F.lit(1)).withColumn("__id", F.lit(2)).withColumn("kept", F.lit("k"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int").withColumn("text", F.lit("t")).withColumn("lang", F.lit("l"))
+    assert sorted(r.kept for r in judge(docs, labels).collect()) == [False] * 3 + [True] * 3
+    out = keep_accepted(docs, labels)
+    assert out.columns == docs.columns
+    assert sorted((tuple(r)[:3] for r in out.collect()), key=repr) == sorted([(1, good, "en")] * 2 + [(None, good, None)], key=repr)
+    assert judge(docs.where("false"), labels).collect() == [] and keep_accepted(docs.where("false"), labels).collect() == []
