@@ -1,0 +1,55 @@
+"""The registered queries: their columns and rows over the small tables, and their SQL."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from heronry.llm import queries
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+#: Query: its table, and the columns that its result begins with.
+EXPECTED = {
+    "op1_embedding_dedup": ("embeddings", ["vec_id", "n_links", "component_id", "kept"]),
+    "op2_quality_classifier": ("documents", ["doc_id"]),
+    "op3_simhash_dedup": ("documents", ["doc_id", "fingerprint", "component_id"]),
+    "op4_chat_format": ("conversations", ["conv_id", "turn"]),
+    "op5_html_extract": ("pages", ["page_id", "url", "text", "n_chars"]),
+    "op6_sharding": ("documents", ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]),
+    "op7_mixing": ("documents", ["doc_id", "size", "source_size", "target", "taken"]),
+    "op8_url_filter": ("pages", ["page_id", "host", "path", "rule", "verdict"]),
+    "op9_bpe": ("documents", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
+    "op10_quality_rules": ("documents", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
+}
+LONGS = "n_links component_id size text_crc32 slot source_size taken n_chars n_tokens n_words word_chars n_symbols n_dup_lines n_repeat_words position".split()
+
+
+def test_all_are_registered():
+    assert set(EXPECTED) == set(queries.QUERIES) <= set(__spark_entry__.queries())
+    assert set(queries.ORACLE_SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert "pipeline" in __spark_entry__.queries()
+
+
+@pytest.mark.parametrize("name", EXPECTED)
+def test_rows_and_types(spark, name):
+    table, columns = EXPECTED[name]
+    got = queries.QUERIES[name](spark, SF)
+    kinds = dict(got.dtypes)
+    assert got.columns[: len(columns)] == columns
+    assert {c: kinds[c] for c in LONGS if c in kinds} == {c: "bigint" for c in LONGS if c in kinds}
+    assert got.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "labels", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    cursor = db.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(names).collect()), key=repr) == sorted(cursor.fetchall(), key=repr)
