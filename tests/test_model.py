@@ -1,0 +1,86 @@
+"""Values that pass between stages."""
+
+from datetime import datetime, timezone
+
+import pytest
+
+from heronry import Candidate, Feature, Gathered, IncompatibleQueryError, Query, Representation, ResourceBudget, Scored, Subset
+
+R = Representation("enc", "1", 4, True)
+NOW = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
+@pytest.mark.parametrize("change", [{"encoder": ""}, {"encoder_revision": ""}, {"dimension": 0}, {"dimension": True}, {"dimension": 1.5}])
+def test_representation_is_checked(change):
+    with pytest.raises(ValueError):
+        Representation(**(R.to_dict() | change))
+
+
+def test_representations_name_every_difference():
+    other = Representation("enc", "2", 8, True, document_template="d: {}")
+    with pytest.raises(IncompatibleQueryError) as e:
+        R.assert_compatible(other)
+    for part in ("encoder_revision: '1' != '2'", "dimension: 4 != 8", "document_template"):
+        assert part in str(e.value)
+    assert "encoder:" not in str(e.value)
+    R.assert_compatible(Representation.from_dict(R.to_dict()))
+
+
+def test_features_are_computed_once_and_failures_are_retried():
+    asked = []
+
+    def provider():
+        asked.append(1)
+        if len(asked) == 1:
+            raise OSError("not yet")
+        return "value"
+
+    f = Feature(R, provider=provider)
+    copy = Query("q", x=f), Query("q", x=f)
+    with pytest.raises(OSError):
+        copy[0].feature("x", R)
+    assert copy[0].feature("x", R) == copy[1].feature("x", R) == "value"
+    assert len(asked) == 2
+
+
+def test_a_feature_needs_one_origin():
+    for given in ({}, {"value": 1, "provider": lambda: 1}):
+        with pytest.raises(ValueError):
+            Feature(R, **given)
+    with pytest.raises(ValueError):
+        Feature(R, provider=lambda: None).value  # noqa: B018
+
+
+def test_requirements_do_not_compute():
+    q = Query("q", x=Feature(R, provider=lambda: 1 / 0))
+    q.require("x", R)
+    with pytest.raises(IncompatibleQueryError, match="lacks"):
+        q.require("y", R)
+    with pytest.raises(IncompatibleQueryError, match="dimension"):
+        q.require("x", Representation("enc", "1", 5, True))
+
+
+def test_subsets():
+    s = Subset().including("a", ["1", "2"]).excluding("b", ["3"])
+    assert [s.allows(*k) for k in (("a", "1"), ("a", "3"), ("b", "3"), ("b", "1"), ("c", "1"))] == [True, False, False, True, False]
+    assert s.corpora() == ["a", "b"] and s.restriction("a") == ("only", frozenset("12")) and s.restriction("c") is None
+    assert s.including("a", []).allows("a", "1") is False and s.allows("a", "1")
+    assert s == Subset().excluding("b", ["3"]).including("a", ["2", "1", "1"]) and s != Subset()
+    for bad in ("12", b"12", [1]):
+        with pytest.raises(TypeError):
+            s.including("a", bad)
+
+
+def test_budgets_are_positive():
+    assert ResourceBudget() == ResourceBudget(max_batch_tokens=131_072, max_documents_per_batch=256, threads=None)
+    for name in ("max_batch_tokens", "max_documents_per_batch", "threads"):
+        with pytest.raises(ValueError, match=name):
+            ResourceBudget(**{name: 0})
+
+
+def test_times_need_a_zone():
+    for make in (Gathered, Scored):
+        with pytest.raises(TypeError):
+            make([], datetime(2024, 1, 1))
+    assert Gathered([Candidate("c", "1", 1.0, 0, "p")], NOW).candidates[0].document_id == "1"
+    assert Scored([None, 1], NOW).scores == [None, 1.0]
