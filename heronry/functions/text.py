@@ -7,7 +7,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -21,9 +21,12 @@ _WORD = re.compile(r"\w+")
 
 
 @lru_cache(maxsize=1)
-def _marks() -> dict[int, None]:
-    """A translation that drops every combining mark."""
-    return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+def _marks() -> re.Pattern[str]:
+    """Runs of combining marks, as ranges of code points."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    starts = [c for c in found if not unicodedata.combining(chr(c - 1))]
+    ends = [c for c in found if not unicodedata.combining(chr(c + 1))]
+    return re.compile("[" + "".join(f"{chr(x)}-{chr(y)}" for x, y in zip(starts, ends, strict=True)) + "]+")
 
 
 @lru_cache(maxsize=8)
@@ -55,7 +58,7 @@ class Analyzer:
         if text.isascii():
             terms = _WORD.findall(text.lower())
         else:
-            terms = _WORD.findall(unicodedata.normalize("NFKD", text.casefold()).translate(_marks()))
+            terms = _WORD.findall(_marks().sub("", unicodedata.normalize("NFKD", text.casefold())))
         return _stem(self.stemmer)(terms) if self.stemmer is not None else terms
 
     def write(self, path: Path) -> None:
@@ -70,13 +73,13 @@ class Analyzer:
         return cls(kept.get("stemmer"))
 
 
-def term_counts(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
-    """Rows ``(doc_id, dl, terms map<string,int>)`` for every document.
+def term_counts(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", text_col: str = "text", only: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(doc_id, dl, terms map<string,int>, *keep)`` for every document.
 
     ``dl`` counts all terms; ``terms`` holds how often each occurs, or with
     ``only`` those of these terms, so that a search needn't move the others.
+    The columns ``keep`` pass through.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     wanted = None if only is None else frozenset(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +88,14 @@ def term_counts(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", tex
             for cell in b.column(1):
                 terms = analyzer.tokens(cell.as_py())
                 lengths.append(len(terms))
-                counted = Counter(terms) if wanted is None else Counter(t for t in terms if t in wanted)
+                counted = Counter(terms if wanted is None else filter(wanted.__contains__, terms))
                 maps.append(list(counted.items()))
-            yield pa.record_batch([b.column(0), pa.array(lengths, pa.int64()), pa.array(maps, pa.map_(pa.string(), pa.int32()))], names=["doc_id", "dl", "terms"])
+            columns = [b.column(0), pa.array(lengths, pa.int64()), pa.array(maps, pa.map_(pa.string(), pa.int32())), *b.columns[2:]]
+            yield pa.record_batch(columns, names=["doc_id", "dl", "terms", *keep])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, dl long, terms map<string,int>")
+    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)]
+    schema = ", ".join([f"doc_id {kinds[0]}", "dl long", "terms map<string,int>", *(f"`{c}` {k}" for c, k in zip(keep, kinds[1:], strict=True))])
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep).mapInArrow(run, schema)
 
 
 def words(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,15 +35,36 @@ def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1
     return idf * tf / (k1 * (1 - b + b * dl / avgdl) + tf)
 
 
+def _wanted(terms: Sequence[str]) -> dict[str, int]:
+    """How often the query has each of its terms."""
+    return dict(Counter(terms))
+
+
+def bm25_scan(counted: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
+    """``counted`` with ``score``, documents with a term of the query only; nothing but one row of statistics is shuffled.
+
+    For documents without an index: a first pass aggregates the number of
+    documents, their mean length and the frequency of every query term, a
+    second scores. ``counted`` is ``term_counts`` of these terms over all
+    documents; columns kept there pass through.
+    """
+    wanted = _wanted(terms)
+    if not wanted:
+        return counted.withColumn("score", F.lit(0.0)).where(F.lit(False))
+    tf = [F.element_at("terms", F.lit(t)) for t in wanted]
+    one = counted.agg(F.count("*").alias("__n"), F.avg("dl").alias("__avgdl"), *(F.count(x).alias(f"__df{i}") for i, x in enumerate(tf)))
+    held = counted.where(F.size("terms") > 0).crossJoin(F.broadcast(one))
+    parts = [F.coalesce(bm25_weight(x, F.col("dl"), F.col(f"__df{i}"), F.col("__n"), F.col("__avgdl"), k1, b), F.lit(0.0)) * n for i, (x, n) in enumerate(zip(tf, wanted.values(), strict=True))]
+    return held.withColumn("score", functools.reduce(operator.add, parts)).select(*counted.columns, "score")
+
+
 def bm25_scores(rows: DataFrame, stats: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
-    """Rows ``(doc_id, score)`` of documents with a term of the query.
+    """Rows ``(doc_id, score)`` of documents with a term of the query, from postings.
 
     A term that the query repeats counts as often. Frequencies and the mean
     length are those of ``rows`` and ``stats``, whatever subset applies later.
     """
-    wanted: dict[str, int] = {}
-    for t in terms:
-        wanted[t] = wanted.get(t, 0) + 1
+    wanted = _wanted(terms)
     if not wanted:
         return rows.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
     # a query's terms are few: they become a literal filter that reaches the scan

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from heronry.functions.text import Analyzer, term_counts, words
 from heronry.functions.vectors import all_finite, dot, int8_codes, int8_decode, int8_scale, l2_norm
 from heronry.model import Subset
-from heronry.operators.lexical import bm25_scores, corpus_stats, document_frequency, match_scores, positive, postings
+from heronry.operators.lexical import bm25_scan, bm25_scores, corpus_stats, document_frequency, match_scores, positive, postings
 from heronry.operators.maxsim import maxsim_arrow, maxsim_relational
 from heronry.operators.presence import delete, newest_rows, present_rows, upsert
 from heronry.operators.rank import gather_top, rank
@@ -91,9 +91,9 @@ def s_maxsim(ids: tuple[int, ...] = QUERY_VECTORS) -> str:
   GROUP BY doc_id)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = term_counts(table(spark, sf_dir, "documents"), Analyzer(), only=TERMS)
-    return positive(bm25_scores(postings(counted), corpus_stats(counted), TERMS))
+def _bm25(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    counted = term_counts(table(spark, sf_dir, "documents"), Analyzer(), only=TERMS, keep=keep)
+    return positive(bm25_scan(counted, TERMS)).select("doc_id", "score", *keep)
 
 
 def _gathered(scored: DataFrame, limit: int = GATHER) -> DataFrame:
@@ -110,9 +110,8 @@ def term_match_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S_COUNTED} SELECT doc_id, CAST(len(terms) AS BIGINT) AS n_terms, CAST(len(list_distinct(terms)) AS BIGINT) AS n_distinct, CAST(len([w for w in string_split_regex(coalesce(text, ''), '\\s+') if w <> '']) AS BIGINT) AS n_words FROM counted JOIN documents USING (doc_id)")
 def analyzer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counted = term_counts(docs, Analyzer()).select("doc_id", F.col("dl").alias("n_terms"), F.size("terms").cast("long").alias("n_distinct"))
-    return counted.join(docs.select("doc_id", F.size(words(F.coalesce("text", F.lit("")))).cast("long").alias("n_words")), "doc_id")
+    docs = table(spark, sf_dir, "documents").withColumn("n_words", F.size(words(F.coalesce("text", F.lit("")))).cast("long"))
+    return term_counts(docs, Analyzer(), keep=("n_words",)).select("doc_id", F.col("dl").alias("n_terms"), F.size("terms").cast("long").alias("n_distinct"), "n_words")
 
 
 @query(f"WITH {S_POSTINGS} SELECT term, CAST(df AS BIGINT) AS df, n, round(avgdl, 6) AS avgdl FROM freq CROSS JOIN stats")
@@ -127,6 +126,14 @@ def bm25_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gathered(_bm25(spark, sf_dir)).select("doc_id", F.round("gather_score", 6).alias("score"), "gather_rank")
 
 
+@query(f"WITH {S_BM25} SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS BIGINT) AS gather_rank FROM bm25 QUALIFY gather_rank < {GATHER}")
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``bm25_gather``, from postings and statistics, the form that an index stores."""
+    counted = term_counts(table(spark, sf_dir, "documents"), Analyzer())
+    scored = positive(bm25_scores(postings(counted), corpus_stats(counted), TERMS))
+    return _gathered(scored).select("doc_id", F.round("gather_score", 6).alias("score"), "gather_rank")
+
+
 def _subset(spark: SparkSession, sf_dir: str, subset: Subset) -> DataFrame:
     scored = _bm25(spark, sf_dir).select(F.lit("docs").alias("corpus"), F.col("doc_id").cast("string").alias("doc_id"), "score")
     return gather_top(restrict(scored, subset), GATHER, "score").select("doc_id", F.round("score", 6).alias("score"), "gather_rank")
@@ -302,10 +309,9 @@ def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {S_BM25}, fused AS (SELECT lang AS corpus, doc_id, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS k FROM bm25 JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr'))
 SELECT corpus, doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, corpus, doc_id) - 1 AS BIGINT) AS gather_rank FROM fused WHERE k <= {GATHER}""")
 def fused_two_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("corpus"))
-    scored = _bm25(spark, sf_dir).join(docs, "doc_id")
-    parts = [gather_top(scored.where(F.col("corpus") == c), GATHER, "score", ("doc_id",)).drop("gather_rank") for c in ("en", "fr")]
-    return gather_top(parts[0].unionByName(parts[1]), 2 * GATHER, "score").select("corpus", "doc_id", F.round("score", 6).alias("score"), "gather_rank")
+    scored = _bm25(spark, sf_dir, ("lang",)).withColumnRenamed("lang", "corpus").where(F.col("corpus").isin("en", "fr"))
+    best = gather_top(scored, GATHER, "score", ("doc_id",), per=("corpus",)).drop("gather_rank")
+    return gather_top(best, 2 * GATHER, "score").select("corpus", "doc_id", F.round("score", 6).alias("score"), "gather_rank")
 
 
 S_BATCH = " UNION ALL ".join(f"SELECT '{q}' AS query_id, * FROM embeddings WHERE vec_id IN ({_values(ids)})" for q, ids in BATCH.items())

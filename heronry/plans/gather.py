@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from heronry.functions.text import Analyzer, term_counts
 from heronry.model import Gathered, Query, Representation, Subset
-from heronry.operators.lexical import as_candidates, bm25_scores, corpus_stats, match_scores, positive, postings
+from heronry.operators.lexical import as_candidates, bm25_scan, match_scores, positive
 from heronry.operators.subset import restrict_corpus
 
 
@@ -29,7 +29,7 @@ class TermMatchGenerator:
 
 
 class Bm25Generator:
-    """BM25 over documents that have no lexical index: one pass counts the query's terms."""
+    """BM25 over documents that have no lexical index: one pass for statistics, one for scores."""
 
     requires: dict[str, Representation] = {}
     score_semantics = "bm25s-lucene"
@@ -43,6 +43,6 @@ class Bm25Generator:
         if not terms:
             return Gathered([], self.as_of)
         counted = term_counts(self.documents, self.analyzer, self.id_col, self.text_col, terms)
-        scored = positive(bm25_scores(postings(counted), corpus_stats(counted), terms))
+        scored = positive(bm25_scan(counted, terms))
         allowed = restrict_corpus(scored, subset, self.corpus)
         return Gathered(as_candidates(allowed, self.corpus, limit, "bm25"), self.as_of)

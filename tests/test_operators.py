@@ -11,7 +11,7 @@ from heronry import Subset
 from heronry.functions.text import Analyzer, term_counts, words
 from heronry.functions.vectors import all_finite, dot, int8_codes, int8_decode, int8_scale, l2_norm, normalize
 from heronry.operators import subset as subsets
-from heronry.operators.lexical import as_candidates, bm25_scores, corpus_stats, match_scores, positive, postings
+from heronry.operators.lexical import as_candidates, bm25_scan, bm25_scores, corpus_stats, match_scores, positive, postings
 from heronry.operators.presence import delete, present_rows, upsert
 from heronry.operators.rank import check_scores, gather_top, rank
 
@@ -142,6 +142,7 @@ def test_bm25_equals_a_loop(spark):
     query = ["a", "c", "a", "zz"]
     counted = term_counts(df, Analyzer(), only=query)
     got = dict(positive(bm25_scores(postings(counted), corpus_stats(counted), query)).collect())
+    scanned = dict(positive(bm25_scan(counted, query)).select("doc_id", "score").collect())
     bags = {d: t.split() for d, t in texts.items()}
     mean, n = sum(map(len, bags.values())) / len(bags), len(bags)
     for d, bag in bags.items():
@@ -150,8 +151,8 @@ def test_bm25_equals_a_loop(spark):
             df_, tf = sum(t in b for b in bags.values()), bag.count(t)
             if tf:
                 score += math.log(1 + (n - df_ + 0.5) / (df_ + 0.5)) * tf / (1.5 * (1 - 0.75 + 0.75 * len(bag) / mean) + tf)
-        assert got.get(d, 0.0) == pytest.approx(score)
-    assert bm25_scores(postings(counted), corpus_stats(counted), []).collect() == []
+        assert got.get(d, 0.0) == pytest.approx(score) == scanned.get(d, 0.0)
+    assert bm25_scores(postings(counted), corpus_stats(counted), []).collect() == [] == bm25_scan(counted, []).collect()
 
 
 def test_scores_that_are_not_positive_are_no_candidates(spark):
