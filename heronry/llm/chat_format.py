@@ -17,7 +17,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.llm.scratch import cut
+from heronry.llm.scratch import cut, small_or_not
+
+#: Entries of a conversation above which it is dealt over several tasks.
+CROWD = 10_000
 
 #: Tool: argument: (JSON type, whether it must be there). Types: string, number, integer, boolean, array, object.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -96,7 +99,33 @@ def _ordered(calls: DataFrame) -> DataFrame:
     return named.select("conv_id", "call_id", "n", F.coalesce("at", "turn").alias("at"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def _positions(entries: DataFrame, order: list[str], crowd: int) -> DataFrame:
+    """``entries`` with ``position``, which counts those of a conversation from 0 in ``order``.
+
+    Conversations of more than ``crowd`` entries, of which there are few, are
+    range-partitioned by that order; a task numbers its part, and the totals of
+    the parts before it are added.
+    """
+
+    def numbered(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("position", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+
+    crowded = cut(entries.groupBy("conv_id").count().where(F.col("count") > crowd).select(F.col("conv_id").alias("crowded")), "crowded")
+    if crowded.isEmpty():
+        return numbered(entries, "conv_id")
+    few = small_or_not(crowded)
+    same = F.col("conv_id").eqNullSafe(F.col("crowded"))
+    parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(entries.join(few, same, "left_semi").repartitionByRange(parts, "conv_id", *order).withColumn("part", F.spark_partition_id()), "dealt")
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n_part"))  # a row a part, and one more for each conversation
+    totals = totals.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("before"))
+    placed = numbered(dealt, "conv_id", "part").join(small_or_not(cut(totals, "totals")), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    placed = placed.withColumn("position", F.col("position") + F.col("before")).drop("part", "c", "p", "before")
+    return numbered(entries.join(few, same, "left_anti"), "conv_id").unionByName(placed)
+
+
+def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row per entry: every turn, and every call in a turn.
 
     Columns: ``conv_id, turn, position, role, kind, call_id, status, line``.
@@ -143,9 +172,11 @@ def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str
         entries = plain
     else:
         exploded = rows.where("c is not null").select("conv_id", "turn", "role", "text", F.posexplode("c.tool_calls").alias("k", "x"))
-        order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text", "k"))
+        # numbers rise with turn, text and place in it; they are fixed by being written
+        parts = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        exploded = exploded.repartitionByRange(parts, "conv_id", "turn", "text", "k").sortWithinPartitions("conv_id", "turn", "text", "k")
         calls = cut(
-            exploded.select("conv_id", "turn", "role", F.col("x.id").alias("call_id"), F.col("x.name").alias("name"), F.col("x.arguments").alias("arguments"), F.coalesce("x.after", F.array()).alias("after"), order.cast("int").alias("n")),
+            exploded.select("conv_id", "turn", "role", F.col("x.id").alias("call_id"), F.col("x.name").alias("name"), F.col("x.arguments").alias("arguments"), F.coalesce("x.after", F.array()).alias("after"), F.monotonically_increasing_id().alias("n")),
             "calls",
         )
         by_id = Window.partitionBy("conv_id", "call_id")
@@ -181,5 +212,5 @@ def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str
             F.coalesce("call_level", F.lit(0)).alias("level"), F.coalesce("call_n", F.lit(0)).alias("n"), "m",
         )
         entries = plain.unionByName(call_rows).unionByName(result_rows)
-    order = Window.partitionBy("conv_id").orderBy("at", "stage", "level", "n", "m", "role", "line")
-    return entries.select("conv_id", "turn", (F.row_number().over(order) - 1).cast("long").alias("position"), "role", "kind", "call_id", "status", "line")
+    placed = _positions(entries, ["at", "stage", "level", "n", "m", "role", "line"], crowd)
+    return placed.select("conv_id", "turn", "position", "role", "kind", "call_id", "status", "line")

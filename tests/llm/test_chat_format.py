@@ -107,6 +107,16 @@ def test_long_chains_and_texts(spark):
     assert len(got[-1].line) > 300_000
 
 
+def test_crowded_conversations_are_numbered_alike(spark):
+    """Two long conversations, one of them null, are dealt over tasks; the rows are the same."""
+    rows = [(c, t, "user", f"{c} {t}") for c, n in ((1, 400), (2, 3), (None, 300), (3, 9)) for t in range(n)]
+    rows += [(1, t, "assistant", calls(call(f"c{t}"), call(f"d{t}", after=[f"c{t}"]))) for t in range(0, 400, 9)] + [(1, 5, "user", "same")] * 20
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    a, b = (sorted(map(tuple, format_chats(df, SCHEMAS, crowd=n).collect()), key=repr) for n in (10_000, 50))
+    assert a == b
+    assert sorted(r[2] for r in b if r[0] is None) == list(range(300))
+
+
 def test_nulls_repeats_clashes_and_nothing(spark):
     rows = [(None, None, None, None), (None, 1, "user", "x"), (1, 1, "user", "x"), (1, 1, "user", "x"), (1, 1, "assistant", "a"), (None, 2, "assistant", calls(call("k"))), (None, 3, "tool", result("k"))]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("line", F.lit(1)).withColumn("n", F.lit("n")).withColumn("position", F.lit("p"))
