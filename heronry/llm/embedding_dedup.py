@@ -2,10 +2,12 @@
 
 Equal vectors are first merged to one with a weight. The others are assigned
 to spherical k-means cells whose centroids are fitted on a bounded sample;
-each cell of a label is dealt into tiles of bounded size. Two tiles of a label
-are multiplied unless the angle between their centroids exceeds both radii and
-the linking angle together, so no link is lost: cells save work, never links.
-A product gives link counts and a spanning forest, not pairs.
+each cell of a label is dealt, by rings around its centroid where it is large,
+into tiles of bounded size. Two tiles of a label are multiplied unless the
+triangle inequality, from the angle between their centroids and the angles to
+them, shows that none of their vectors can be near each other: cells save
+work, never links. A product gives link counts and a spanning forest, not
+pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.llm.components import connected_components
@@ -25,9 +27,11 @@ from heronry.llm.simhash_dedup import forest
 #: Distinct vectors that centroids are fitted on, at most.
 FIT_ROWS = 20_000
 #: Distinct vectors for each cell, and cells at most.
-CELL_ROWS, MAX_CELLS = 16_384, 256
+CELL_ROWS, MAX_CELLS = 16_384, 1024
 #: Vectors in a tile, about.
 TILE_ROWS = 2048
+#: Rings for each linking angle, and what is added to angles for rounding, which near zero is about 1e-8.
+RINGS, SLACK = 4, 1e-6
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -168,28 +172,35 @@ def embedding_groups(
     centroids = spherical_kmeans(_matrix(sample.column(0).combine_chunks()), k) if sample.num_rows else np.ones((1, dim))
 
     home = merged.select("gid", "dim", "embedding").mapInArrow(_assign(centroids), "gid long, cell int, angle double")
-    # the tile of a vector is decided by its cell's size, so that no tile is much above tile_rows
-    cells = cut(merged.select("gid", "label", "dim", "rep").join(home, "gid"), "cells")
-    sizes = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("n_tiles"))
+    # the tile of a vector is decided by the sizes of its cell and ring, so that no tile is much above tile_rows
+    link = math.acos(max(-1.0, min(1.0, threshold)))
+    ring = F.floor(F.col("angle") / max(link / RINGS, 1e-3)).cast("long")
+    cells = cut(merged.select("gid", "label", "dim", "rep").join(home, "gid").withColumn("ring", ring), "cells")
+    whole = F.sum("n").over(Window.partitionBy("label", "dim", "cell"))
+    sizes = cells.groupBy("label", "dim", "cell", "ring").agg(F.count("*").alias("n")).withColumn("whole", whole)
+    sizes = sizes.select("label", "dim", "cell", "ring", (F.col("whole") > tile_rows).alias("large"), F.ceil(F.col("n") / F.lit(tile_rows)).cast("long").alias("n_tiles"))
     place = ["label", "dim", "cell", "tile"]
+    tile = F.when(F.col("large"), F.shiftleft(F.col("ring"), 32) + F.pmod(F.xxhash64("gid"), F.col("n_tiles"))).otherwise(F.lit(0).cast("long"))
     dealt = cut(
-        cells.join(small_or_not(cut(sizes, "sizes")), ["label", "dim", "cell"])
-        .withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("n_tiles")).cast("int"))
-        .select("gid", *place, "angle"),
+        cells.join(small_or_not(cut(sizes, "sizes")), ["label", "dim", "cell", "ring"]).withColumn("tile", tile).select("gid", *place, "angle"),
         "tiles",
     )
-    tiles = cut(dealt.groupBy(*place).agg(F.max("angle").alias("r")), "tile-list")
-    between = np.arccos(np.clip(centroids @ centroids.T, -1, 1)).astype(float)
-    apart = spark.createDataFrame(
-        [(i, j, float(between[i, j])) for i in range(len(between)) for j in range(len(between))] or [(0, 0, 0.0)],
-        "cell int, cell_b int, apart double",
-    )
-    left, right = (tiles.select("label", "dim", *(F.col(c).alias(c + s) for c in ("cell", "tile", "r"))) for s in ("", "_b"))
+    tiles = cut(dealt.groupBy(*place).agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")), "tile-list")
+    # pairs of cells that may hold near vectors; there are MAX_CELLS squared at most
+    reach = np.full(len(centroids), -10.0)
+    for r in tiles.where("cell >= 0").groupBy("cell").agg(F.max("hi").alias("hi")).collect():
+        reach[r["cell"]] = r["hi"]
+    between = np.arccos(np.clip(centroids @ centroids.T, -1, 1))
+    np.fill_diagonal(between, 0.0)
+    i, j = np.nonzero(between - reach[:, None] - reach[None, :] <= link + SLACK)
+    near = pa.table({"cell": pa.array(np.append(i, -1), pa.int32()), "cell_b": pa.array(np.append(j, -1), pa.int32()), "apart": np.append(between[i, j], 0.0)})
+    left, right = (tiles.select("label", "dim", *(F.col(c).alias(c + s) for c in ("cell", "tile", "lo", "hi"))) for s in ("", "_b"))
+    least = F.greatest(F.col("apart") - F.col("hi") - F.col("hi_b"), F.col("lo") - F.col("apart") - F.col("hi_b"), F.col("lo_b") - F.col("apart") - F.col("hi"))
     pairs = (
-        left.join(right, ["label", "dim"])
+        left.join(F.broadcast(spark.createDataFrame(near)), "cell")
+        .join(right, ["label", "dim", "cell_b"])
         .where("struct(cell, tile) <= struct(cell_b, tile_b)")
-        .join(F.broadcast(apart), ["cell", "cell_b"], "left")
-        .where(F.coalesce(F.col("apart") - F.col("r") - F.col("r_b"), F.lit(0.0)) <= math.acos(max(-1.0, min(1.0, threshold))) + 1e-9)
+        .where(least <= link + SLACK)
         .select("label", "dim", "cell", "tile", "cell_b", "tile_b")
         .withColumn("unit", F.monotonically_increasing_id())
     )

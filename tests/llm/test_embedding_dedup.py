@@ -40,12 +40,12 @@ def random_rows(seed, n, dim=16, labels=3):
     return [rows[i] for i in g.permutation(n)]
 
 
-@pytest.mark.parametrize(("cell_rows", "tile_rows"), [(16_384, 2048), (20, 7)])
-def test_groups_equal_brute_force(spark, cell_rows, tile_rows):
+@pytest.mark.parametrize(("cell_rows", "tile_rows", "threshold"), [(16_384, 2048, 0.93), (20, 7, 0.93), (20, 7, 0.999), (100, 2, 0.5)])
+def test_groups_equal_brute_force(spark, cell_rows, tile_rows, threshold):
     """Small cells and tiles make many pairs of tiles, of which some are left out as too far apart."""
     rows = random_rows(4, 300)
-    got = embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), cell_rows=cell_rows, tile_rows=tile_rows).collect()
-    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute(rows)
+    got = embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), threshold, cell_rows=cell_rows, tile_rows=tile_rows).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute(rows, threshold)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
