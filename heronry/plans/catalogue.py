@@ -20,6 +20,7 @@ from heronry.operators.maxsim import maxsim_arrow, maxsim_relational
 from heronry.operators.presence import delete, newest_rows, present_rows, upsert
 from heronry.operators.rank import gather_top, rank
 from heronry.operators.subset import restrict
+from heronry.plans.batch import search_many
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -331,6 +332,27 @@ def batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank(scored, LIMIT, tie="doc_id", per=("query_id",)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+BATCH_TERMS = {"a": ["the", "thereof", "the"], "b": ["les", "und"], "c": ["erin"]}
+_S_ASKED = " UNION ALL ".join(f"SELECT '{q}' AS query_id, '{t}' AS term, {ts.count(t)} AS times" for q, ts in BATCH_TERMS.items() for t in dict.fromkeys(ts))
+
+
+@query(f"""WITH {S_POSTINGS}, asked AS ({_S_ASKED}), {S_TOKENS}, batch AS ({S_BATCH}), gathered AS (
+  SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (1.5 * (1 - 0.75 + 0.75 * dl / avgdl) + tf)) AS s
+  FROM postings JOIN freq USING (term) JOIN asked USING (term) CROSS JOIN stats GROUP BY ALL),
+top AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) - 1 AS BIGINT) AS gather_rank FROM gathered QUALIFY gather_rank < {GATHER}),
+scored AS (
+  SELECT query_id, doc_id, gather_rank, sum(best) AS score FROM (
+    SELECT query_id, doc_id, gather_rank, q.vec_id, max({S_DOT.format('t.vector', 'q.embedding')}) AS best FROM top JOIN tokens t USING (doc_id) JOIN batch q USING (query_id) GROUP BY ALL) GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, gather_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gather_rank) AS rank FROM scored QUALIFY rank <= {LIMIT}""")
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline for several queries in one plan."""
+    terms = sorted({t for ts in BATCH_TERMS.values() for t in ts})
+    counted = term_counts(table(spark, sf_dir, "documents"), Analyzer(), only=terms)
+    matrices = {q: _matrix(spark, sf_dir, ids) for q, ids in BATCH.items()}
+    found = search_many(postings(counted), corpus_stats(counted), BATCH_TERMS, GATHER, LIMIT, tokens(spark, sf_dir), matrices)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, len([x for x in embedding if isnan(x) OR isinf(x)]) = 0 AS finite, abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) <= 0.0011 AS unit FROM embeddings")
 def normalize_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 import numpy as np
 import pytest
 
-from heronry import Candidate, Feature, Gathered, IncompatibleIndexError, IncompatibleQueryError, MaxSimReranker, Query, Representation, ResourceBudget, Scored, SearchPipeline, Subset, VectorStore, VectorStoreWriter
+from heronry import Candidate, Feature, Gathered, IncompatibleIndexError, IncompatibleQueryError, MaxSimReranker, Query, Representation, ResourceBudget, Scored, SearchPipeline, Subset, VectorStore, VectorStoreWriter, search_many
 from heronry.functions.text import Analyzer
 from heronry.plans.gather import Bm25Generator, TermMatchGenerator
 from heronry.plans.lexical_index import LexicalCandidateGenerator, publish
@@ -255,3 +255,22 @@ def test_a_new_generation_is_followed(spark, documents, tmp_path):
 def test_an_empty_index(spark, documents, tmp_path):
     publish(documents.where("false"), str(tmp_path / "bm25"), "c", Analyzer())
     assert SearchPipeline(LexicalCandidateGenerator(tmp_path / "bm25", Analyzer(), spark)).search("fox", gather_limit=3, limit=3).documents == ()
+
+
+def test_a_batch_equals_its_single_searches(spark, documents, tmp_path):
+    publish(documents, str(tmp_path / "bm25"), "c", Analyzer())
+    g, x = LexicalCandidateGenerator(tmp_path / "bm25", Analyzer(), spark), unit(4)
+    _, vectors = store(spark, tmp_path / "v", "c", ["1", "2", "3"], x, [1, 2, 1])
+    texts, matrices = {"q1": "fox red fox", "q2": "sky hen", "q3": "nothing", "q4": ""}, {q: unit(2, i) for i, q in enumerate(("q1", "q2", "q3", "q4"))}
+    state, rows = g.current()
+    stats = spark.createDataFrame([(state["n"], state["avgdl"])], "n long, avgdl double")
+    terms = {q: Analyzer().tokens(t) for q, t in texts.items()}
+    tokens = spark.createDataFrame([(d, v.tolist()) for d, m in {"1": x[:1], "2": x[1:3], "3": x[3:]}.items() for v in m], "doc_id string, vector array<float>")
+    for reranker, more in ((None, {}), (MaxSimReranker([vectors]), {"tokens": tokens, "matrices": matrices})):
+        got = search_many(rows, stats, terms, 3, 2, **more).collect()
+        for q, text in texts.items():
+            one = SearchPipeline(g, reranker).search(Query(text, multi_vector=Feature(R, matrices[q])), gather_limit=3, limit=2)
+            found = sorted((r["rank"], r.doc_id, pytest.approx(r.score, abs=1e-5)) for r in got if r.query_id == q)
+            assert [(d.rank, d.document_id, d.score) for d in one.documents] == found
+    with pytest.raises(ValueError):
+        search_many(rows, stats, terms, 1, 2)
