@@ -15,6 +15,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of Parquet files that are broadcast, at most.
+BROADCAST_BYTES = 32 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -53,10 +56,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``table``, with a broadcast hint only if it was counted to have ``rows`` rows at most.
+def small_or_not(table: DataFrame, rows: int = 1_000_000, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``table``, with a broadcast hint only if it has ``rows`` rows and ``size`` bytes of files at most.
 
-    For tables of a few numbers a row that ``cut`` returned, so that counting
-    reads little. Larger ones are left to a shuffled join.
+    For tables that ``cut`` returned, filtered or projected perhaps: their size
+    is that of their files, and counting reads little. Larger ones are left to
+    a shuffled join.
     """
+    stats = table._jdf.queryExecution().optimizedPlan().stats()
+    if int(str(stats.sizeInBytes())) > size:
+        return table
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
