@@ -6,7 +6,7 @@ is dealt into blocks by a hash, blocks are taken whole in permuted order up to
 the source's quota, and the last is taken in part. The blocks are split among
 output shards along a binary tree: at each node a random subset of exact size
 goes left, which makes the block counts of the sources multivariate
-hypergeometric. Inside a shard draws are shuffled by a hash.
+hypergeometric. Written shards are shuffled inside by a hash.
 """
 
 from __future__ import annotations
@@ -168,12 +168,8 @@ def mix_words(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     )
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int = 16, **budget) -> DataFrame:
-    """The mixed documents themselves: a row of ``docs`` for each draw, its columns unchanged.
-
-    A draw of a part of a document gives the whole one if it is half of it or
-    more, and none otherwise. Documents without words are not drawn.
-    """
+def _drawn(docs: DataFrame, id_col: str, source_col: str, text_col: str, n_shards: int, **budget) -> DataFrame:
+    """Rows ``(__row, doc_id, draw)`` for the draws that give a document; ``__row`` holds its columns."""
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"),
         F.col(id_col).alias("doc_id"),
@@ -183,4 +179,27 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     plan = plan_mix(cut(rows.drop("__row"), "words"), n_shards=n_shards, **budget)
     drawn = draw(rows, plan, budget.get("passes", PASSES))
     times = F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))
-    return drawn.select("__row", F.explode(times)).select("__row.*")
+    return drawn.select("__row", "doc_id", F.explode(times).alias("draw"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int = 16, **budget) -> DataFrame:
+    """The mixed documents themselves: a row of ``docs`` for each draw, its columns unchanged.
+
+    A draw of a part of a document gives the whole one if it is half of it or
+    more, and none otherwise. Documents without words are not drawn.
+    """
+    return _drawn(docs, id_col, source_col, text_col, n_shards, **budget).select("__row.*")
+
+
+def write_mix(docs: DataFrame, path: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int = 16, files: int = 1, **budget) -> None:
+    """Write ``mix_documents`` as Parquet folders ``shard=N`` of ``files`` files each, shuffled.
+
+    A hash of the document and the pass picks the file within the shard and the
+    place within the file. ``docs`` must have no columns named
+    ``shard``, ``__order`` or ``__file``; an empty table writes no shards.
+    """
+    draws = _drawn(docs, id_col, source_col, text_col, n_shards, **budget)
+    order = F.xxhash64("doc_id", F.lit(SEED + 4), F.col("draw.pass"))
+    placed = draws.select("__row.*", F.col("draw.shard").alias("shard"), order.alias("__order")).withColumn("__file", F.pmod("__order", F.lit(files)))
+    dealt = placed.repartition(max(1, n_shards * files), "shard", "__file").sortWithinPartitions("shard", "__order")
+    dealt.drop("__order", "__file").write.partitionBy("shard").parquet(path)

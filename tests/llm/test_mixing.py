@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from heronry.llm.mixing import mix_documents, mix_words, source_targets, split_tree
+from heronry.llm.mixing import mix_documents, mix_words, source_targets, split_tree, write_mix
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -94,3 +94,18 @@ def test_documents_pass_unchanged(spark):
     times = Counter(map(tuple, out.collect()))
     assert set(times) <= known and max(times.values()) <= 2
     assert mix_documents(df.where("false")).collect() == []
+
+
+def test_written_shards_hold_the_mix_in_a_shuffled_order(spark, tmp_path):
+    """Rows are those of mix_documents; in a file, ids are not in their order, nor are sources apart."""
+    df = spark.createDataFrame([(i, "ab"[i % 2], "w " * 10) for i in range(20_000)], "doc_id long, source string, text string")
+    write_mix(df, str(tmp_path / "mix"), n_shards=4, files=2)
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert Counter(r.doc_id for r in back.collect()) == Counter(r.doc_id for r in mix_documents(df, n_shards=4).collect())
+    assert {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+    for path in (tmp_path / "mix").rglob("*.parquet"):
+        rows = spark.read.parquet(str(path)).collect()
+        ids = [r.doc_id for r in rows]
+        assert ids != sorted(ids)
+        assert {r["source"] for r in rows[: len(rows) // 4]} == {"a", "b"}
+    write_mix(df.where("false"), str(tmp_path / "none"))
