@@ -135,6 +135,21 @@ def allowed_rejections(n: Column, risk: Column, error: Column) -> Column:
     return walked["best"]
 
 
+def log_tail(n: Column, k: Column, p: float) -> Column:
+    """The logarithm of P(Bin(n, p) <= k), for k from 0 to n."""
+    odds = F.lit(p).cast("double")
+    odds = F.ln(odds) - F.log1p(-odds)
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] + F.ln((n - i + 1) / i) + odds
+        high = F.greatest(acc["total"], term)
+        return F.struct(term.alias("term"), (high + F.ln(F.exp(acc["total"] - high) + F.exp(term - high))).alias("total"))
+
+    first = n * F.log1p(F.lit(-p))
+    rest = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(rest, F.struct(first.alias("term"), first.alias("total")), step)["total"]
+
+
 def fit_cutoffs(
     counts: DataFrame,
     labels: DataFrame,
@@ -149,8 +164,10 @@ def fit_cutoffs(
 
     ``cutoff`` is null where the rule rejects nothing: if the labels of a
     stratum are too few to show any of its cutoffs safe, or if bad documents
-    are less than ``precision`` of what each safe one rejects. Else it is the
-    one of these with the largest difference between the rejected shares of bad
+    are less than ``precision`` of what each safe one rejects, or so few that an
+    exact test at the same level doesn't show them to be most of it: without
+    that, one bad document with an extreme measure would make a cutoff. Else it
+    is the one of these with the largest difference between the rejected shares of bad
     and good documents, in the middle of those that reject the same ones. Documents that the base
     rules reject are not counted, nor are null labels; a document with
     contradicting labels is good. All labelled rows are used; counts of them,
@@ -172,7 +189,8 @@ def fit_cutoffs(
         binned.groupBy("stratum", "rule")
         .agg(F.sum("goods").alias("n_good"), F.sum("bads").alias("n_bad"))
         .crossJoin(F.broadcast(n_strata))  # a single row
-        .withColumn("allowed", allowed_rejections(F.col("n_good"), F.lit(risk), F.lit(error) / (F.col("n_strata") * len(RULES))))
+        .withColumn("level", F.lit(error) / (F.col("n_strata") * len(RULES)))
+        .withColumn("allowed", allowed_rejections(F.col("n_good"), F.lit(risk), F.col("level")))
     )
     # the cutoffs between a step and the next lower one reject all whose step is this or a higher one
     falling = Window.partitionBy("stratum", "rule").orderBy(F.desc("step"))
@@ -183,8 +201,10 @@ def fit_cutoffs(
     )
     same = F.col("c.stratum").eqNullSafe(F.col("l.stratum")) & (F.col("c.rule") == F.col("l.rule"))
     gain = F.try_divide("caught", "n_bad") - F.try_divide("rejected", "n_good")
-    safe = walk.alias("c").join(limits.alias("l"), same).where("rejected <= allowed and step > 0").select("c.*", gain.alias("gain"))
-    best = safe.where((F.col("gain") > 0) & (F.col("caught") >= precision * (F.col("caught") + F.col("rejected")))).groupBy("stratum", "rule").agg(F.max(F.struct("gain", "step", "below")).alias("b"))
+    safe = walk.alias("c").join(limits.alias("l"), same).where("rejected <= allowed and step > 0").select("c.*", "level", gain.alias("gain"))
+    both = F.col("caught") + F.col("rejected")
+    precise = safe.where((F.col("gain") > 0) & (F.col("caught") >= precision * both))
+    best = precise.where(log_tail(both, F.col("rejected"), 0.5) <= F.ln("level")).groupBy("stratum", "rule").agg(F.max(F.struct("gain", "step", "below")).alias("b"))
     middle = F.expr("(b.below + b.step - 1) / 2") / F.lit(float(steps))
     return (
         limits.alias("l")

@@ -147,7 +147,7 @@ tails AS (
   SELECT *, sum(exp(lgamma(n_good + 1) - lgamma(k + 1) - lgamma(n_good - k + 1) + k * ln({quality_rules.RISK}) + (n_good - k) * ln(1 - {quality_rules.RISK}))) OVER (PARTITION BY stratum, rule ORDER BY k) AS tail
   FROM (SELECT *, unnest(range(0, CAST(floor(n_good * {quality_rules.RISK}) AS BIGINT) + 1)) AS k FROM totals)
 ),
-limits AS (SELECT stratum, rule, any_value(n_good) AS n_good, any_value(n_bad) AS n_bad, coalesce(max(k) FILTER (tail <= error), -1) AS allowed FROM tails GROUP BY stratum, rule),
+limits AS (SELECT stratum, rule, any_value(n_good) AS n_good, any_value(n_bad) AS n_bad, any_value(error) AS error, coalesce(max(k) FILTER (tail <= error), -1) AS allowed FROM tails GROUP BY stratum, rule),
 walk AS (
   SELECT *, sum(goods) OVER down AS rejected, sum(bads) OVER down AS caught, coalesce(lead(step) OVER down, 0) AS below
   FROM binned WINDOW down AS (PARTITION BY stratum, rule ORDER BY step DESC)
@@ -155,6 +155,7 @@ walk AS (
 safe AS (
   SELECT w.*, caught / n_bad - rejected / n_good AS gain FROM walk w JOIN limits l ON w.stratum IS NOT DISTINCT FROM l.stratum AND w.rule = l.rule
   WHERE rejected <= allowed AND step > 0 AND n_bad > 0 AND n_good > 0 AND caught >= {quality_rules.PRECISION} * (caught + rejected)
+    AND list_sum([exp(lgamma(caught + rejected + 1) - lgamma(k + 1) - lgamma(caught + rejected - k + 1) + (caught + rejected) * ln(0.5)) for k in range(0, CAST(rejected AS BIGINT) + 1)]) <= error
 ),
 cutoffs AS (SELECT stratum, rule, (below + step - 1) / 2 / {float(quality_rules.STEPS)} AS cutoff FROM safe WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step DESC) = 1),
 fired AS (SELECT doc_id, string_agg(m.rule, ' ' ORDER BY m.rule) AS rejected_by FROM measured m JOIN cutoffs c ON m.stratum IS NOT DISTINCT FROM c.stratum AND m.rule = c.rule WHERE measure > cutoff GROUP BY doc_id)

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from heronry.llm.quality_rules import allowed_rejections, base_counts, fit_cutoffs, judge, keep_accepted
+from heronry.llm.quality_rules import allowed_rejections, base_counts, fit_cutoffs, judge, keep_accepted, log_tail
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -53,6 +53,13 @@ def test_bound_is_exact(spark, n, risk, error):
     assert df.select(allowed_rejections(F.col("n"), F.lit(risk), F.lit(error))).first()[0] == best
 
 
+@pytest.mark.parametrize(("n", "k"), [(1, 0), (1, 1), (9, 0), (9, 3), (200, 0), (200, 90), (5000, 2400)])
+def test_tail_is_exact(spark, n, k):
+    exact = math.log(sum(math.comb(n, i) for i in range(k + 1))) - n * math.log(2)
+    df = spark.createDataFrame([(n, k)], "n long, k long")
+    assert df.select(log_tail(F.col("n"), F.col("k"), 0.5)).first()[0] == pytest.approx(exact, abs=1e-9)
+
+
 def text_of(r, junk):
     words = [f"{r.choice('abcdefgh')}{r.randrange(900)}" for _ in range(80)]
     return " ".join(w + "###" if junk else w for w in words)
