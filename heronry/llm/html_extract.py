@@ -3,25 +3,23 @@
 Every page's containers are scored by the text of the blocks in them, links
 counting against it. The best container votes for its generalised path (tags
 with classes, digits and random suffixes folded away); Spark adds up the votes
-per host; and each page is extracted again from the containers at the best
-path of its host that it has.
+per host; and each page is extracted again from the containers at the most
+voted path of its host that it has text at, however many paths the host has.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.llm.scratch import cut, small_or_not
 
-#: Paths that are kept for a host; pages that have none of them use their own best container.
-PATHS_PER_HOST = 16
-
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -186,17 +184,37 @@ def _best(containers: list[_Node]) -> _Node:
     return top
 
 
-def best_container(page: str | None) -> tuple[str, float] | None:
-    """The path and score of the container that holds most of a page's text; None without text."""
+def page_paths(page: str | None) -> tuple[str, float, bytes, list[bytes]] | None:
+    """What a page votes with, and the paths that it has text at; None without text.
+
+    The path and score of the container that holds most of the text, the digest
+    of that path, and the digests of the paths of all containers around blocks.
+    """
     blocks, containers = parse(page or "")
     if not blocks:
         return None
+    found: dict[int, bytes] = {}
+
+    def digest(node: _Node) -> bytes:
+        line = []
+        while node is not None and id(node) not in found:
+            line.append(node)
+            node = node.parent
+        above = b"" if node is None else found[id(node)]
+        for n in reversed(line):
+            above = found[id(n)] = hashlib.blake2b(above + n.key.encode(), digest_size=16).digest()
+        return above
+
     top = _best(containers)
-    return top.path(), max(n.score for n in containers)
+    own = digest(top)
+    found.clear()
+    for _, n in blocks:
+        digest(n)
+    return top.path(), max(n.score for n in containers), own, sorted({found[id(n)] for n in containers if id(n) in found})
 
 
 def main_text(page: str | None, paths: list[str] | None = None) -> str:
-    """Blocks of the containers at the first of ``paths`` that the page has text at, else of its best one.
+    """Blocks of the containers at the first of ``paths`` that the page has text at, else at its best one's path.
 
     Blocks have their character references decoded and white space folded, and
     are joined by an empty line.
@@ -207,8 +225,7 @@ def main_text(page: str | None, paths: list[str] | None = None) -> str:
     by_path: dict[str, set[int]] = {}
     for n in containers:
         by_path.setdefault(n.path(), set()).add(id(n))
-    top = _best(containers)
-    for chosen in [by_path[p] for p in paths or () if p in by_path] + [{id(top)}]:
+    for chosen in (by_path[p] for p in [*(paths or ()), _best(containers).path()] if p in by_path):
         inside: dict[int, bool] = {}
 
         def within(n: _Node | None) -> bool:
@@ -229,24 +246,50 @@ def url_host(url) -> F.Column:
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", paths_per_host: int = PATHS_PER_HOST) -> DataFrame:
-    """One row ``(host, paths)`` per host that has text: its most voted paths, best first."""
+def _seen(pages: DataFrame) -> DataFrame:
+    """Rows ``(host, key, path, score, own, at)`` of the pages that have text; ``key`` is a digest of their html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(h, best_container(x.as_py())) for h, x in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            found = [(h, *f) for h, f in found if f]
-            cols = list(zip(*found, strict=True)) or [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["host", "path", "score"])
+            found = [(h, k, *f) for h, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) if (f := page_paths(x.as_py()))]
+            cols = list(zip(*found, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.binary(), pa.string(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "key", "path", "score", "own", "at"])
+
+    return pages.select("host", "key", "html").mapInArrow(run, "host string, key binary, path string, score double, own binary, at array<binary>")
+
 
-    votes = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path string, score double")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum(F.floor("score")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path"))
-    best = counted.withColumn("rank", rank).where(F.col("rank") <= paths_per_host)
-    return best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).getField("path").alias("paths"))
+def _placed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    page = F.col(html_col).cast("string")
+    return pages.withColumns({"host": url_host(F.col(url_col)), "key": F.unhex(F.sha2(page, 256)), "html": page})
+
+
+def _votes(seen: DataFrame) -> DataFrame:
+    """Rows ``(host, own, place)``: every path of a host that has votes; of two places the less is the better."""
+    counted = seen.groupBy("host", "path", "own").agg(F.count("*").alias("votes"), F.sum(F.floor("score")).alias("score"))
+    return counted.select("host", "own", F.struct((-F.col("votes")).alias("votes"), (-F.col("score")).alias("score"), "path").alias("place"))
+
+
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row ``(host, paths)`` per host that has text: all its voted paths, best first. To look at; ``extract`` needs no such lists."""
+    voted = _votes(_seen(_placed(pages.select(url_col, html_col), url_col, html_col)))
+    return voted.groupBy("host").agg(F.sort_array(F.collect_list("place")).getField("path").alias("paths"))
+
+
+def _moved(seen: DataFrame) -> DataFrame:
+    """Rows ``(host, key, path)``: the host's best path that the page has text at, where that isn't the page's own.
+
+    Every page's own path has its vote, so pages without a row are read from their own.
+    """
+    voted = cut(_votes(seen), "path-votes")
+    several = cut(voted.groupBy("host").count().where("count > 1").select("host"), "several-paths")
+    could = seen.join(small_or_not(several), "host", "left_semi").dropDuplicates(["host", "key"])
+    at = could.select("host", "key", F.col("path").alias("mine"), F.explode("at").alias("own"))
+    best = at.join(small_or_not(voted), ["host", "own"]).groupBy("host", "key", "mine").agg(F.min("place").alias("place"))
+    return best.where("place.path <> mine").select("host", "key", F.col("place.path").alias("path"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", paths_per_host: int = PATHS_PER_HOST) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row ``(page_id, url, text, n_chars)`` per row of ``pages``.
 
     ``text`` is the article's text, empty for null or empty html and for pages
@@ -255,14 +298,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     none; other columns are not read.
     """
     kept = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    winners = cut(host_paths(kept, paths_per_host=paths_per_host), "host-paths")
-    joined = kept.withColumn("host", url_host(F.col("url"))).join(small_or_not(winners, 20_000), "host", "left")
+    placed = _placed(kept, "url", "html")
+    moved = cut(_moved(cut(_seen(placed), "page-paths")), "moved-pages")
+    joined = placed.join(small_or_not(moved), ["host", "key"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py(), p) for x, p in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+            texts = [main_text(x.as_py(), p and [p]) for x, p in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "paths").mapInArrow(
+    return joined.select("page_id", "url", "html", "path").mapInArrow(
         run, f"page_id {kept.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     )

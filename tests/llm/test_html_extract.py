@@ -52,6 +52,20 @@ def test_a_host_votes_for_its_container(spark):
     assert found[6] == "A box whose text is longer than the post of this page."
 
 
+def test_every_path_of_a_host_counts(spark):
+    """A host of 40 layouts: those of few votes are read like the others, with all containers at the path."""
+    big, small = "A long part of the article. " * 7, "The rest of the article stands in a box of its own. "
+    layouts = ["".join(chr(97 + int(c)) for c in f"{i:02}") for i in range(39)]
+    rows = [(f"<body><div class='x{n}'><p>{big}</p></div><div class='x{n}'><p>{small}</p></div></body>", f"{big.strip()}\n\n{small.strip()}") for n in layouts for _ in range(4)]
+    full = f"<body><div class='post'><p>{P1}</p><p>{P2}</p></div><div class='box'><p>x</p></div></body>"
+    short = "<body><div class='post'><p>Short.</p></div><div class='box'><p>A box whose text is longer than the post of this page.</p></div></body>"
+    rows += [(full, f"{T1}\n\n{T2}")] * 2 + [(short, "Short.")]
+    pages = spark.createDataFrame([(i, None, p) for i, (p, _) in enumerate(rows)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in extract(pages).collect()}
+    assert found == {i: t for i, (_, t) in enumerate(rows)}
+    assert main_text(rows[0][0]) == rows[0][1]
+
+
 def test_nulls_repeats_and_other_columns(spark):
     page = LAYOUTS["article"]
     rows = [(1, None, page, "u"), (1, None, page, "u"), (None, "nowhere", None, "u"), (2, "http://h", "", "u")]
