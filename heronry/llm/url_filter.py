@@ -2,7 +2,8 @@
 
 Rules decide what they fit. The trees learn from labelled URLs: those that a
 rule decides, those whose host holds a word of a block list, and other URLs as
-allowed examples. They are fitted on a bounded sample; every URL is scored.
+allowed examples. They are fitted on a bounded sample, with features that count
+the labels of all URLs by host suffix; every URL is scored.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from heronry.llm.html_extract import url_host
+from heronry.llm.scratch import cut, small_or_not
 
 
 class Rule(NamedTuple):
@@ -42,6 +45,9 @@ RULES = (
 BLOCK_WORDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "farm", "free", "gamble", "pills", "porn", "spam", "track", "viagra", "xxx")
 #: Labelled URLs that the trees are fitted on, at most.
 FIT_ROWS = 20_000
+#: Suffixes of one kind whose counts are broadcast, at most.
+BROADCAST_SUFFIXES = 250_000
+SUFFIXES = ("suffix1", "suffix2", "suffix3", "first_step")
 
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "params", "query_length", "hyphens", "suffix1", "suffix2", "suffix3", "first_step")
 
@@ -69,9 +75,14 @@ def _suffixes(url: str) -> tuple[str, str, str, str]:
     return labels[-1], ".".join(labels[-2:]), ".".join(labels[-3:]), f"{labels[-1]}/{step[0] if step else ''}"
 
 
+def shrunk(n, bad, overall: float, weight: float = 5.0):
+    """The rate ``bad / n``, with ``weight`` more labels at the overall rate."""
+    return (bad + weight * overall) / (n + weight)
+
+
 @dataclass
 class SuffixRates:
-    """How often labelled URLs with a host suffix are to be blocked, shrunk to the overall rate."""
+    """How often labelled URLs with a host suffix are to be blocked, shrunk to the overall rate; for labels in a list."""
 
     overall: float = 0.0
     tables: list[dict[str, tuple[int, int]]] = field(default_factory=lambda: [{}, {}, {}, {}])
@@ -94,7 +105,7 @@ class SuffixRates:
                 n, bad = self.tables[k].get(s, (0, 0))
                 if without is not None:
                     n, bad = n - 1, bad - int(without[i])
-                out[i, k] = (bad + self.weight * self.overall) / (n + self.weight)
+                out[i, k] = shrunk(n, bad, self.overall, self.weight)
         return out
 
 
@@ -188,28 +199,77 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-z))
 
 
+def _suffixed(rows: DataFrame) -> DataFrame:
+    """``rows``, which have a ``url``, with its four suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_suffixes(u or "") for u in b.column(b.schema.get_field_index("url")).to_pylist()]
+            added = [pa.array([x[k] for x in keys], pa.string()) for k in range(4)]
+            yield pa.record_batch([*b.columns, *added], names=[*b.schema.names, *SUFFIXES])
+
+    fields = [StructField(f.name, f.dataType) for f in rows.schema] + [StructField(s, StringType()) for s in SUFFIXES]
+    return rows.mapInArrow(run, StructType(fields))
+
+
+def _counted(suffixed: DataFrame, counts: list[DataFrame]) -> DataFrame:
+    """The rows with arrays ``n`` and ``bad`` of the four counts of their suffixes, in place of these."""
+    out = suffixed
+    for s, table in zip(SUFFIXES, counts, strict=True):
+        out = out.join(small_or_not(table, BROADCAST_SUFFIXES), s, "left")
+    at = [F.array(*(F.coalesce(F.col(f"{c}_{s}"), F.lit(0)).cast("double") for s in SUFFIXES)).alias(c) for c in ("n", "bad")]
+    return out.select(*(c for c in suffixed.columns if c not in SUFFIXES), *at)
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+
+
 class UrlModel(NamedTuple):
-    rates: SuffixRates
+    counts: list[DataFrame]  #: rows ``(suffix, n_suffix, bad_suffix)`` over all labelled URLs, for each of SUFFIXES
+    overall: float  #: share of labelled URLs to block
     trees: BoostedTrees
 
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``rows``, which have a ``url``, with ``score``, the probability to be one to block."""
+        overall, trees, names = self.overall, self.trees, rows.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, bad = (_flat(b.column(len(names) + i)) for i in (0, 1))
+                urls = [u or "" for u in b.column(names.index("url")).to_pylist()]
+                yield pa.record_batch([*b.columns[: len(names)], pa.array(trees.probability(features(urls, shrunk(n, bad, overall))))], names=[*names, "score"])
+
+        fields = [StructField(f.name, f.dataType) for f in rows.schema] + [StructField("score", DoubleType())]
+        return _counted(_suffixed(rows), self.counts).mapInArrow(run, StructType(fields))
+
     def probability(self, urls: list[str]) -> np.ndarray:
-        """The probability of each URL to be one to block."""
-        return self.trees.probability(features(urls, self.rates.rates(urls)))
+        """The probability of each URL of a list to be one to block."""
+        rows = self.counts[0].sparkSession.createDataFrame(list(enumerate(urls)), "at long, url string")
+        return self.scored(rows).orderBy("at").toArrow().column("score").to_numpy()
 
 
 def fit_urls(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> UrlModel:
     """A model from rows ``(url, block int)``.
 
-    Distinct labelled URLs are taken in order of a hash, ``fit_rows`` at most,
-    blocked and allowed ones apart and half of the bound each.
+    Suffixes are counted over all distinct labelled URLs, one to block if any
+    of its rows is. For the trees they are taken in order of a hash,
+    ``fit_rows`` at most, blocked and allowed ones apart and half of the bound
+    each, with their own label left out of the counts.
     """
     distinct = labelled.where("url is not null and block is not null").groupBy("url").agg(F.max("block").alias("block"))
-    parts = [distinct.where(F.col("block") == b).orderBy(F.xxhash64("url"), "url").limit(fit_rows // 2) for b in (0, 1)]
-    rows = parts[0].union(parts[1]).toArrow()
+    known = cut(_suffixed(distinct), "labelled-urls")
+    counts = [cut(known.groupBy(s).agg(F.count("*").alias(f"n_{s}"), F.sum("block").alias(f"bad_{s}")), f"counts-{s}") for s in SUFFIXES]
+    overall = float(known.agg(F.coalesce(F.avg("block"), F.lit(0.0))).first()[0])
+    parts = [known.where(F.col("block") == b).orderBy(F.xxhash64("url"), "url").limit(fit_rows // 2) for b in (0, 1)]
+    rows = _counted(parts[0].union(parts[1]), counts).orderBy("block", "url").toArrow().combine_chunks()
     urls, block = rows.column("url").to_pylist(), np.asarray(rows.column("block").to_pylist(), float)
-    rates = SuffixRates.fit(urls, block)
-    x = features(urls, rates.rates(urls, block)) if urls else np.zeros((0, len(FEATURES)))
-    return UrlModel(rates, BoostedTrees.fit(x, block, np.ones(len(block))))
+    if urls:
+        n, bad = (_flat(rows.column(c).combine_chunks()) for c in ("n", "bad"))
+        x = features(urls, shrunk(n - 1, bad - block[:, None], overall))
+    else:
+        x = np.zeros((0, len(FEATURES)))
+    return UrlModel(counts, overall, BoostedTrees.fit(x, block, np.ones(len(block))))
 
 
 def label_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, words: tuple[str, ...] = BLOCK_WORDS) -> DataFrame:
@@ -239,15 +299,8 @@ def judge_urls(
     and are allowed. Repeated rows give rows of their own, an empty table none.
     """
     model = fit_urls(label_urls(pages, url_col, rules) if labelled is None else labelled, fit_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            urls = [u or "" for u in b.column(1).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(model.probability(urls))], names=["page_id", "url", "score"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
     url = F.col("url")
-    scored = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInArrow(run, f"page_id {kind}, url string, score double")
+    scored = model.scored(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")))
     placed = scored.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), "score")
     ruled = placed.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     own = F.when((F.col("score") >= threshold) & (F.col("host") != ""), "block").otherwise("allow")

@@ -53,6 +53,20 @@ def test_suffix_rates_leave_the_own_label_out():
     assert fitted.rates(["http://q.x/"])[0, 0] == pytest.approx((1 + 5 / 3) / (2 + 5))
 
 
+def test_suffixes_are_counted_over_all_labels(spark):
+    """Also those of URLs that the trees aren't fitted on; hosts of a few blocked URLs stand out from a large corpus."""
+    rows = [(f"http://h{i % 150}.site{i % 30}.org/p{i}", int(i % 150 == 7)) for i in range(3000)]
+    model = fit_urls(spark.createDataFrame(rows + rows[:100], "url string, block int"), fit_rows=40)
+    urls, block = [u for u, _ in rows], np.array([b for _, b in rows], float)
+    whole = SuffixRates.fit(urls, block)
+    assert model.overall == pytest.approx(whole.overall) == pytest.approx(1 / 150)
+    for k, table in enumerate(model.counts):
+        assert {s: (n, bad) for s, n, bad in table.collect()} == whole.tables[k]
+    asked = ["http://h7.site7.org/new", "http://nowhere/", "", urls[0]]
+    expected = model.trees.probability(features(asked, whole.rates(asked)))
+    assert model.probability(asked) == pytest.approx(expected)
+
+
 def test_trees_learn_and_stay_constant_without_a_choice():
     g = np.random.default_rng(0)
     x = g.normal(size=(2000, 5))
