@@ -44,7 +44,7 @@ LABELLERS: dict[str, tuple[float, float]] = {
     "doubled": (0.02, 0.2),  # marks that follow the same mark, by word
     "capitals": (0.15, 0.5),  # of ASCII letters
     "echoes": (0.02, 0.15),  # words equal to the one before
-    "common": (0.2, 0.4),  # words that are the most frequent of a sample of 512
+    "common": (0.2, 0.4),  # words that are the most frequent one
     "repeated": (0.5, 0.7),  # words that occurred before among each 256 words
     "compressible": (0.64, 0.8),  # share that a fast compressor saves
     "lines": (0.0, 0.3),  # lines that repeat one
@@ -72,7 +72,6 @@ def measures(data: bytes) -> np.ndarray:
     compressed += len(packer.flush())
     other, symbols, upper, lower, space = counts[:5].tolist()
     solid = max(1, len(data) - space)
-    spread = words[:: max(1, n // 512)]
     chunks = [words[i : i + 256] for i in range(0, n, 256)]
     out[:8] = (
         symbols / solid,
@@ -81,7 +80,7 @@ def measures(data: bytes) -> np.ndarray:
         doubled / n,
         upper / max(1, upper + lower),
         sum(map(operator.eq, words, itertools.islice(words, 1, None))) / n,
-        Counter(spread).most_common(1)[0][1] / len(spread),
+        max(Counter(words).values()) / n,
         1 - sum(len(set(c)) for c in chunks) / n,
     )
     if len(data) >= 400:

@@ -37,6 +37,16 @@ def test_long_texts_are_measured_whole():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("rows", [100, 511, 512, 2000])
+def test_the_most_frequent_word_is_counted_in_the_whole_text(rows):
+    """Whatever the period of a text and its length."""
+    at = list(LABELLERS).index("common")
+    for first, last in ((b"unit ", b""), (b"", b" unit")):
+        text = b" ".join(first + b" ".join(b"w%d" % (7 * i + k) for k in range(7)) + last for i in range(rows))
+        assert measures(text)[at] == pytest.approx(1 / 8)
+    assert measures(b" ".join(b"junk w%d" % i for i in range(rows)))[at] == pytest.approx(1 / 2)
+
+
 def test_held_out_labels(spark):
     """Labels are not used in training; 97 of 100 must be right, and hardly a good document may go."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
