@@ -187,8 +187,9 @@ def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str
         same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.call_id") == F.col("b.call_id"))
         marked = calls.alias("a").join(first.hint("shuffle_hash").alias("b"), same, "left").select("a.*", F.col("b.n").alias("first"))
         marked = marked.alias("a").join(answered.hint("shuffle_hash").alias("b"), same, "left").select("a.*", "b.answered")
-        placed = _ordered(calls.where("call_id is not null").select("conv_id", "call_id", "turn", "n", "after"))
-        marked = marked.join(placed.select("n", F.col("conv_id").alias("v"), "at", "level", "cyclic"), F.col("conv_id").eqNullSafe(F.col("v")) & (marked.n == placed.n), "left").drop(placed.n).drop("v")
+        # in a struct a null conversation equals itself
+        placed = _ordered(calls.where("call_id is not null").select(F.struct("conv_id").alias("conv_id"), "call_id", "turn", "n", "after"))
+        marked = marked.join(placed.select("n", F.col("conv_id.conv_id").alias("v"), "at", "level", "cyclic"), F.col("conv_id").eqNullSafe(F.col("v")) & (marked.n == placed.n), "left").drop(placed.n).drop("v")
         marked = cut(marked.withColumn("at", F.coalesce("at", "turn")).withColumn("level", F.coalesce("level", F.lit(0))), "marked")
         fault = argument_fault(F.col("name"), F.coalesce("arguments", F.lit("{}")), schemas)
         status = F.when(F.col("call_id").isNull(), "unnamed").when(F.col("n") != F.col("first"), "repeated").when(F.coalesce("cyclic", F.lit(False)), "cycle")

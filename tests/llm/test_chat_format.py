@@ -127,3 +127,18 @@ def test_nulls_repeats_clashes_and_nothing(spark):
     assert sorted(r.position for r in found if r.conv_id is None) == [0, 1, 2, 3, 4]
     assert {(r.kind, r.status) for r in found if r.call_id == "k"} == {("call", "ok"), ("result", "ok")}
     assert format_chats(df.where("false")).collect() == []
+
+
+def test_calls_without_a_conversation_are_ordered(spark):
+    """A call waits for the one it names, and cycles are marked, in the null conversation as in others."""
+
+    def turn(*calls):
+        return json.dumps({"content": "", "tool_calls": [{"id": i, "name": "f", "arguments": "{}", "after": after} for i, after in calls]})
+
+    text = turn(("a", ["b"]), ("b", []), ("c", ["d"]), ("d", ["c"]))
+    turns = spark.createDataFrame([(None, 0, "assistant", text), (7, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = format_chats(turns).where("kind = 'call'").orderBy("position").collect()
+    for conv in (None, 7):
+        got = {r.call_id: (i, r.status) for i, r in enumerate(x for x in rows if x.conv_id == conv)}
+        assert got["b"][0] < got["a"][0]
+        assert {i: s for i, (_, s) in got.items()} == {"a": "unanswered", "b": "unanswered", "c": "cycle", "d": "cycle"}
