@@ -21,6 +21,8 @@ from heronry.llm.scratch import cut, small_or_not
 
 #: Entries of a conversation above which it is dealt over several tasks.
 CROWD = 10_000
+#: Waits between the calls of a conversation up to which they are ordered inside one row.
+IN_ROW = 48
 
 #: Tool: argument: (JSON type, whether it must be there). Types: string, number, integer, boolean, array, object.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -63,40 +65,73 @@ def argument_fault(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return F.when(parsed.isNull(), "json").when(~kind.startswith("OBJECT"), "object").otherwise(out)
 
 
-def _ordered(calls: DataFrame) -> DataFrame:
-    """``calls(conv_id, call_id, turn, n, after)`` with ``at``, ``level`` and ``cyclic``.
+def _in_rows(nodes: DataFrame, waits: DataFrame) -> DataFrame:
+    """``at`` and ``level`` of ``nodes(conv, call_id, turn)``, each conversation in one row; ``level`` is null on cycles.
 
-    Kahn's rounds: a call is placed once all calls that it waits for are, at
-    the latest turn among theirs and its own. Rounds are as many as the longest
-    chain; what no round can place waits for itself and keeps its turn. Names
-    in ``after`` that no call of the conversation has are passed over.
+    A round places every call whose needs are placed; there are as many rounds
+    as the conversation has calls, which ``IN_ROW`` bounds.
     """
-    waits = cut(
-        calls.select("conv_id", F.col("call_id").alias("id"), F.explode("after").alias("needs"))
-        .join(calls.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
-        .distinct(),
-        "waits",
-    )
-    keyed = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
-    waiting = waits.select("conv_id", F.col("id").alias("call_id")).distinct()
-    if waits.isEmpty():
-        return calls.select("conv_id", "call_id", "n", F.col("turn").alias("at"), F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
-    placed = cut(keyed.join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).alias("level")), "placed")
-    open_calls = cut(keyed.join(waiting, ["conv_id", "call_id"], "left_semi"), "open")
-    while not open_calls.isEmpty():
-        seen = waits.join(placed.select("conv_id", F.col("call_id").alias("needs"), "at", "level"), ["conv_id", "needs"], "left")
-        ready = seen.groupBy("conv_id", "id").agg(F.count_if(F.col("level").isNull()).alias("left"), F.max("at").alias("at"), F.max("level").alias("level")).where("left = 0")
-        new = open_calls.join(ready.select("conv_id", F.col("id").alias("call_id"), F.col("at").alias("a"), "level"), ["conv_id", "call_id"])
-        new = cut(new.select("conv_id", "call_id", F.greatest("turn", "a").alias("at"), (F.col("level") + 1).alias("level")), "new")
-        if new.isEmpty():
-            break
-        placed = cut(placed.unionByName(new), "placed")
-        open_calls = cut(open_calls.join(new, ["conv_id", "call_id"], "left_anti"), "open")
-    found = placed.withColumn("cyclic", F.lit(False)).unionByName(
-        open_calls.select("conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).alias("level"), F.lit(True).alias("cyclic"))
-    )
-    named = calls.select("conv_id", "call_id", "n", "turn").join(found, ["conv_id", "call_id"], "left")
-    return named.select("conv_id", "call_id", "n", F.coalesce("at", "turn").alias("at"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    needs = waits.groupBy("conv", "call_id").agg(F.collect_list("needs").alias("needs"))
+    held = nodes.join(needs, ["conv", "call_id"], "left").groupBy("conv").agg(F.collect_list(F.struct("call_id", "turn", F.coalesce("needs", F.array()).alias("needs"))).alias("v"))
+    ids = F.transform("v", lambda x: x["call_id"])
+    held = held.withColumn("w", F.transform("v", lambda x: F.struct(x["turn"].alias("turn"), F.transform(x["needs"], lambda y: F.array_position(ids, y)).alias("p"))))
+    none = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("level"))
+
+    def place(acc: Column, _: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            node = F.get(F.col("w"), i)
+            of = F.transform(node["p"], lambda j: F.element_at(acc, j.cast("int")))
+            ready = F.forall(of, lambda x: x["level"].isNotNull())
+            at = F.greatest(node["turn"], F.array_max(F.transform(of, lambda x: x["at"])))
+            level = F.coalesce(F.array_max(F.transform(of, lambda x: x["level"])) + 1, F.lit(0))
+            return F.when(s["level"].isNotNull(), s).when(ready, F.struct(at.alias("at"), level.alias("level"))).otherwise(s)
+
+        return F.transform(acc, one)
+
+    placed = F.aggregate(F.sequence(F.lit(1), F.size("v")), F.transform("v", lambda x: none), place)
+    rows = held.select("conv", F.posexplode(placed).alias("i", "s"), "v")
+    return rows.select("conv", F.get("v", F.col("i"))["call_id"].alias("call_id"), F.col("s.at").alias("at"), F.col("s.level").alias("level"))
+
+
+def _in_rounds(nodes: DataFrame, waits: DataFrame) -> DataFrame:
+    """As ``_in_rows`` for conversations of any size: a round is a join, and rounds are as many as the longest chain."""
+    free = nodes.join(waits.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(True).alias("free"))
+    state = nodes.join(free, ["conv", "call_id"], "left").select("conv", "call_id", "turn", F.when(F.col("free"), F.col("turn")).alias("at"), F.when(F.col("free"), 0).alias("level"))
+    state = cut(state, "order")
+    done = state.where("level is not null").count()
+    while True:
+        seen = waits.join(state.select("conv", F.col("call_id").alias("needs"), "at", "level"), ["conv", "needs"])
+        ready = seen.groupBy("conv", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("at").alias("a"), F.max("level").alias("l")).where("open = 0").drop("open")
+        grown = state.join(ready, ["conv", "call_id"], "left")
+        at, level = F.coalesce("at", F.when(F.col("l").isNotNull(), F.greatest("turn", "a"))), F.coalesce("level", F.col("l") + 1)
+        state = cut(grown.select("conv", "call_id", "turn", at.alias("at"), level.alias("level")), "order")
+        now = state.where("level is not null").count()
+        if now == done:
+            return state.drop("turn")
+        done = now
+
+
+def _ordered(calls: DataFrame, in_row: int) -> DataFrame:
+    """Rows ``(conv, call_id, at, level)`` of the calls that wait or are waited for; ``conv`` is a struct, in which null equals null.
+
+    A call is placed once all calls that it waits for are, at the latest turn
+    among theirs and its own; ``level`` is null for what can never be placed.
+    Names in ``after`` that no call of the conversation has are passed over.
+    Conversations of at most ``in_row`` waits are ordered inside a row, others
+    by rounds of joins.
+    """
+    named = calls.where("call_id is not null").select(F.struct("conv_id").alias("conv"), "call_id", "turn", "after")
+    keyed = named.groupBy("conv", "call_id").agg(F.min("turn").alias("turn"))
+    asked = named.select("conv", "call_id", F.explode(F.array_distinct("after")).alias("needs")).distinct()
+    waits = cut(asked.join(keyed.select("conv", F.col("call_id").alias("needs")).hint("shuffle_hash"), ["conv", "needs"], "left_semi"), "waits")
+    ends = waits.select("conv", "call_id").union(waits.select("conv", F.col("needs").alias("call_id"))).distinct()
+    nodes = cut(ends.join(keyed, ["conv", "call_id"]), "nodes")
+    large = cut(waits.groupBy("conv").count().where(F.col("count") > in_row).select("conv"), "large-conversations")
+    if large.isEmpty():
+        return _in_rows(nodes, waits)
+    few = small_or_not(large)
+    inside, rounds = (lambda t, how: t.join(few, "conv", how)), ("left_anti", "left_semi")
+    return _in_rows(*(inside(t, rounds[0]) for t in (nodes, waits))).unionByName(_in_rounds(*(cut(inside(t, rounds[1]), "crowded-order") for t in (nodes, waits))))
 
 
 def _positions(entries: DataFrame, order: list[str], crowd: int) -> DataFrame:
@@ -125,7 +160,25 @@ def _positions(entries: DataFrame, order: list[str], crowd: int) -> DataFrame:
     return numbered(entries.join(few, same, "left_anti"), "conv_id").unionByName(placed)
 
 
-def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def _name(key: str, value: Column) -> Column:
+    """``"key":"value"`` with JSON escapes, or ``"key":null``."""
+    quoted = F.to_json(F.struct(value.alias(key)))
+    return F.when(value.isNull(), f'"{key}":null').otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
+
+
+def _line(*parts: Column) -> Column:
+    between = [x for p in parts for x in (F.lit(","), p)][1:]
+    return F.concat(F.lit("{"), *between, F.lit("}"))
+
+
+def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, which rises with ``order`` over all rows; fixed by being written."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return cut(dealt.withColumn(name, F.monotonically_increasing_id()), name)
+
+
+def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", crowd: int = CROWD, in_row: int = IN_ROW) -> DataFrame:
     """One row per entry: every turn, and every call in a turn.
 
     Columns: ``conv_id, turn, position, role, kind, call_id, status, line``.
@@ -135,12 +188,18 @@ def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str
     earlier call has its id), ``unnamed`` (no id), ``cycle``, or what is wrong
     with its arguments; of a result ``ok``, ``orphan`` (no call has its id) or
     ``repeated`` (an earlier result answers it). Results come right after the
-    call they answer, orphans at their own turn. A null text is serialised as
-    null content. Null conversations are one conversation; rows of equal turn
-    are ordered by role and text; repeated rows give entries of their own. An
-    empty table gives no rows; other columns are not read.
+    first call of their id, orphans at their own turn. A call stands at its own
+    turn, or later if a call that it waits for does; what a cycle keeps from
+    being ordered stays at its own turn. A null text is serialised as null
+    content. Without ``schemas`` any tool and any JSON object passes.
+    Arguments with a key twice are no valid JSON (``json``, serialised as the
+    string they are), and integers beyond 38 digits become floating numbers.
+
+    Null conversations are one conversation, of null turns the order is first;
+    rows of equal turn are ordered by what they are and by text; repeated rows
+    give entries of their own. Texts of any length are serialised whole. An
+    empty table gives no rows; other columns are not read, whatever their names.
     """
-    schemas = schemas or {}
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
@@ -152,66 +211,62 @@ def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str
     as_result = F.when((F.col("role") == "tool") & object_like & F.get_json_object("text", "$.tool_call_id").isNotNull(), F.from_json("text", _RESULT))
     rows = rows.withColumn("c", as_calls).withColumn("r", as_result)
 
-    def name(key: str, value: Column) -> Column:
-        """``"key":"value"`` with JSON escapes, or ``"key":null``."""
-        quoted = F.to_json(F.struct(value.alias(key)))
-        return F.when(value.isNull(), f'"{key}":null').otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
-
     said = F.when(F.col("c").isNotNull(), F.col("c.content")).otherwise(F.col("text"))
     plain = rows.where("r is null").select(
         "conv_id", "turn", "role",
         F.lit("message").alias("kind"),
         F.lit(None).cast("string").alias("call_id"),
         F.when((F.coalesce(said, F.lit("")) == "") & F.col("c").isNull(), "empty").otherwise("ok").alias("status"),
-        F.concat(F.lit("{"), name("content", said), F.lit(","), name("role", F.col("role")), F.lit("}")).alias("line"),
-        F.col("turn").alias("at"), F.lit(0).alias("stage"), F.lit(0).alias("level"), F.lit(0).alias("n"), F.lit(0).alias("m"),
+        _line(_name("content", said), _name("role", F.col("role"))).alias("line"),
+        F.col("turn").alias("at"), F.lit(0).alias("stage"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"),
+    )
+
+    exploded = rows.where("c is not null").select("conv_id", "turn", "role", "text", F.posexplode("c.tool_calls").alias("k", "x"))
+    calls = exploded.select("conv_id", "turn", "text", "k", "role", F.col("x.id").alias("call_id"), F.col("x.name").alias("name"), F.col("x.arguments").alias("arguments"), F.coalesce("x.after", F.array()).alias("after"))
+    calls = _numbered(calls, ["conv_id", "turn", "text", "k"], "n").drop("text", "k")
+    results = rows.where("r is not null").select("conv_id", "turn", "role", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("said"))
+    results = _numbered(results, ["conv_id", "turn", "said"], "m")
+
+    # the first call and the first result of each identifier, hash-joined to all calls and results
+    first = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("n").alias("first"))
+    answer = results.groupBy("conv_id", "call_id").agg(F.min("m").alias("answer"))
+    placed = _ordered(calls, in_row).select(F.col("conv.conv_id").alias("conv_id"), "call_id", "at", "level", F.lit(True).alias("waits"))
+    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.call_id") == F.col("b.call_id"))
+
+    def linked(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+        return left.alias("a").join(right.hint("shuffle_hash").alias("b"), same, "left").select("a.*", *(f"b.{c}" for c in columns))
+
+    marked = linked(linked(linked(calls, first, "first"), answer, "answer"), placed, "at", "level", "waits")
+    marked = marked.withColumn("cyclic", F.coalesce(F.col("waits") & F.col("level").isNull(), F.lit(False)))
+    marked = marked.withColumn("at", F.greatest("turn", F.coalesce("at", "turn"))).withColumn("level", F.coalesce("level", F.lit(0)))
+    marked = cut(marked, "marked")
+    given = F.coalesce("arguments", F.lit("{}"))
+    status = F.when(F.col("call_id").isNull(), "unnamed").when(F.col("n") != F.col("first"), "repeated").when(F.col("cyclic"), "cycle")
+    raw = F.to_json(F.array("arguments"))
+    call_rows = marked.select(
+        "conv_id", "turn", "role",
+        F.lit("call").alias("kind"), "call_id",
+        F.coalesce(status, argument_fault(F.col("name"), given, schemas or {}), F.when(F.col("answer").isNull(), "unanswered"), F.lit("ok")).alias("status"),
+        _line(
+            F.concat(F.lit('"arguments":'), F.coalesce(canonical(given), raw.substr(F.lit(2), F.length(raw) - 2))),
+            _name("id", F.col("call_id")), _name("name", F.col("name")), _name("role", F.col("role")),
+        ).alias("line"),
+        "at", F.lit(1).alias("stage"), "level", "n", F.lit(-1).cast("long").alias("m"),
+    )
+
+    own = marked.where("n = first").select("conv_id", "call_id", F.col("at").alias("call_at"), F.col("level").alias("call_level"), F.col("n").alias("call_n"))
+    answers = linked(linked(results, own, "call_at", "call_level", "call_n"), answer, "answer")
+    orphan = F.col("call_n").isNull()
+    result_rows = answers.select(
+        "conv_id", "turn", "role",
+        F.lit("result").alias("kind"), "call_id",
+        F.when(orphan, "orphan").when(F.col("m") != F.col("answer"), "repeated").otherwise("ok").alias("status"),
+        _line(_name("content", F.col("said")), _name("role", F.col("role")), _name("tool_call_id", F.col("call_id"))).alias("line"),
+        F.when(orphan, F.col("turn")).otherwise(F.col("call_at")).alias("at"),
+        F.when(orphan, 0).otherwise(1).alias("stage"),
+        F.coalesce("call_level", F.lit(0)).alias("level"), F.coalesce("call_n", F.lit(0)).cast("long").alias("n"),
+        F.when(orphan, F.lit(0)).otherwise(F.col("m")).cast("long").alias("m"),
     )
-    in_turns = rows.where("c is not null or r is not null")
-    # without any call or result nothing is to be linked
-    if in_turns.isEmpty():
-        entries = plain
-    else:
-        exploded = rows.where("c is not null").select("conv_id", "turn", "role", "text", F.posexplode("c.tool_calls").alias("k", "x"))
-        # numbers rise with turn, text and place in it; they are fixed by being written
-        parts = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        exploded = exploded.repartitionByRange(parts, "conv_id", "turn", "text", "k").sortWithinPartitions("conv_id", "turn", "text", "k")
-        calls = cut(
-            exploded.select("conv_id", "turn", "role", F.col("x.id").alias("call_id"), F.col("x.name").alias("name"), F.col("x.arguments").alias("arguments"), F.coalesce("x.after", F.array()).alias("after"), F.monotonically_increasing_id().alias("n")),
-            "calls",
-        )
-        by_id = Window.partitionBy("conv_id", "call_id")
-        results = rows.where("r is not null").select("conv_id", "turn", "role", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("said"))
-        results = cut(results.withColumn("m", F.row_number().over(by_id.orderBy("turn", "said"))), "results")
-        first = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("n").alias("n"))
-        answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
-        same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.call_id") == F.col("b.call_id"))
-        marked = calls.alias("a").join(first.hint("shuffle_hash").alias("b"), same, "left").select("a.*", F.col("b.n").alias("first"))
-        marked = marked.alias("a").join(answered.hint("shuffle_hash").alias("b"), same, "left").select("a.*", "b.answered")
-        # in a struct a null conversation equals itself
-        placed = _ordered(calls.where("call_id is not null").select(F.struct("conv_id").alias("conv_id"), "call_id", "turn", "n", "after"))
-        marked = marked.join(placed.select("n", F.col("conv_id.conv_id").alias("v"), "at", "level", "cyclic"), F.col("conv_id").eqNullSafe(F.col("v")) & (marked.n == placed.n), "left").drop(placed.n).drop("v")
-        marked = cut(marked.withColumn("at", F.coalesce("at", "turn")).withColumn("level", F.coalesce("level", F.lit(0))), "marked")
-        fault = argument_fault(F.col("name"), F.coalesce("arguments", F.lit("{}")), schemas)
-        status = F.when(F.col("call_id").isNull(), "unnamed").when(F.col("n") != F.col("first"), "repeated").when(F.coalesce("cyclic", F.lit(False)), "cycle")
-        arguments = F.coalesce(canonical(F.coalesce("arguments", F.lit("{}"))), F.to_json(F.array("arguments")).substr(F.lit(2), F.length(F.to_json(F.array("arguments"))) - 2))
-        call_rows = marked.select(
-            "conv_id", "turn", "role",
-            F.lit("call").alias("kind"), "call_id",
-            F.coalesce(status, fault, F.when(F.col("answered").isNull(), "unanswered"), F.lit("ok")).alias("status"),
-            F.concat(F.lit('{"arguments":'), arguments, F.lit(","), name("id", F.col("call_id")), F.lit(","), name("name", F.col("name")), F.lit(","), name("role", F.col("role")), F.lit("}")).alias("line"),
-            "at", F.lit(1).alias("stage"), "level", "n", F.lit(0).alias("m"),
-        )
-        own = marked.where("n = first").select("conv_id", "call_id", F.col("at").alias("call_at"), F.col("level").alias("call_level"), F.col("n").alias("call_n"))
-        linked = results.alias("a").join(own.hint("shuffle_hash").alias("b"), same, "left").select("a.*", "b.call_at", "b.call_level", "b.call_n")
-        result_rows = linked.select(
-            "conv_id", "turn", "role",
-            F.lit("result").alias("kind"), "call_id",
-            F.when(F.col("call_n").isNull(), "orphan").when(F.col("m") > 1, "repeated").otherwise("ok").alias("status"),
-            F.concat(F.lit("{"), name("content", F.col("said")), F.lit(","), name("role", F.col("role")), F.lit(","), name("tool_call_id", F.col("call_id")), F.lit("}")).alias("line"),
-            F.coalesce("call_at", "turn").alias("at"),
-            F.when(F.col("call_n").isNull(), 0).otherwise(1).alias("stage"),
-            F.coalesce("call_level", F.lit(0)).alias("level"), F.coalesce("call_n", F.lit(0)).alias("n"), "m",
-        )
-        entries = plain.unionByName(call_rows).unionByName(result_rows)
+    entries = plain.unionByName(call_rows).unionByName(result_rows)
     placed = _positions(entries, ["at", "stage", "level", "n", "m", "role", "line"], crowd)
     return placed.select("conv_id", "turn", "position", "role", "kind", "call_id", "status", "line")

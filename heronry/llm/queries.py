@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm import bpe, chat_format, embedding_dedup, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash_dedup, url_filter
+from heronry.llm import bpe, chat_format, chat_queries, embedding_dedup, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"), chat_queries.TOOLS)
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +93,6 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, m.component_id, e.vec_id = m.compo
 FROM embeddings e JOIN least m ON m.a = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
 """
 
-#: The tables hold no tool calls: every turn is a message.
-OP4_SQL = """
-SELECT conv_id, turn,
-       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, line) - 1 AS BIGINT) AS position,
-       role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
-       CASE WHEN coalesce(text, '') = '' THEN 'empty' ELSE 'ok' END AS status, line
-FROM (
-  SELECT *, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS line
-  FROM conversations
-)
-"""
-
 _MEASURES_SQL = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
@@ -163,4 +151,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM counts LEFT JOIN fired USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_chat_format": chat_queries.OP4_SQL, "op10_quality_rules": OP10_SQL}
+
+#: Queries that show an operator on rows which no table holds as they are, and their SQL.
+RELATED: dict[str, Query] = {"chat_tool_calls": chat_queries.chat_tool_calls}
+RELATED_SQL: dict[str, str] = {"chat_tool_calls": chat_queries.TOOL_CALLS_SQL}
