@@ -61,13 +61,19 @@ class Analyzer:
             terms = _WORD.findall(_marks().sub("", unicodedata.normalize("NFKD", text.casefold())))
         return _stem(self.stemmer)(terms) if self.stemmer is not None else terms
 
+    def to_json(self) -> str:
+        return json.dumps({"method": METHOD, "tokenizer": TOKENIZER, "stemmer": self.stemmer, "k1": K1, "b": B}, indent=1)
+
     def write(self, path: Path) -> None:
-        kept = {"method": METHOD, "tokenizer": TOKENIZER, "stemmer": self.stemmer, "k1": K1, "b": B}
-        Path(path).write_text(json.dumps(kept, indent=1), encoding="utf-8")
+        Path(path).write_text(self.to_json(), encoding="utf-8")
 
     @classmethod
     def read(cls, path: Path) -> Analyzer:
-        kept = json.loads(Path(path).read_text(encoding="utf-8"))
+        return cls.from_json(Path(path).read_text(encoding="utf-8"))
+
+    @classmethod
+    def from_json(cls, text: str) -> Analyzer:
+        kept = json.loads(text)
         if kept.get("tokenizer") != TOKENIZER:
             raise ValueError(f"the index has tokenizer {kept.get('tokenizer')!r}; only {TOKENIZER!r} is known")
         return cls(kept.get("stemmer"))

@@ -20,15 +20,19 @@ from heronry.model import ResourceBudget
 
 #: Query tokens that are sent to every task, at most, by size in bytes.
 QUERY_BYTES = 256 << 20
+#: Query tokens that a relational plan broadcasts, at most.
+QUERY_TOKENS = 100_000
 
 
 def maxsim_relational(tokens: DataFrame, queries: DataFrame, doc: Sequence[str] = ("doc_id",), score: str = "score") -> DataFrame:
     """Rows ``(query_id, *doc, score)`` from ``tokens(*doc, vector)`` and ``queries(query_id, pos, vector)``.
 
-    The queries are few and broadcast; each pair of a query token and a
+    The queries are broadcast once their number is checked; each pair of a query token and a
     document has its best product kept, and these are summed by document.
     """
     asked = queries.select("query_id", F.col("pos").alias("__pos"), F.col("vector").alias("__q"))
+    if asked.limit(QUERY_TOKENS + 1).count() > QUERY_TOKENS:
+        raise ValueError("the queries are too many to send to every task; search in smaller groups")
     pairs = tokens.select(*doc, "vector").crossJoin(F.broadcast(asked))
     best = pairs.groupBy("query_id", "__pos", *doc).agg(F.max(dot(F.col("vector"), F.col("__q"))).alias("best"))
     return best.groupBy("query_id", *doc).agg(F.sum("best").alias(score))

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from heronry.functions.text import Analyzer, term_counts, words
 from heronry.functions.vectors import all_finite, dot, int8_codes, int8_decode, int8_scale, l2_norm
 from heronry.model import Subset
-from heronry.operators.lexical import bm25_scan, bm25_scores, corpus_stats, document_frequency, match_scores, positive, postings
+from heronry.operators.lexical import bm25_scores, corpus_stats, document_frequency, match_scores, positive, postings
 from heronry.operators.maxsim import maxsim_arrow, maxsim_relational
-from heronry.operators.presence import delete, newest_rows, present_rows, upsert
+from heronry.operators.presence import delete, freshness, newest_rows, present_rows, repeated, running_offsets, upsert
 from heronry.operators.rank import gather_top, rank
 from heronry.operators.subset import restrict
 from heronry.plans.batch import search_many
+from heronry.plans.lexical_index import LexicalCandidateGenerator, publish
+from heronry.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,9 +94,28 @@ def s_maxsim(ids: tuple[int, ...] = QUERY_VECTORS) -> str:
   GROUP BY doc_id)"""
 
 
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
+    """The path of an index or store that ``make(path)`` builds once for a session and a folder of tables, as users build once and search often."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        path = files.temporary(spark, name)
+        make(path)
+        _built[key] = path
+    return _built[key]
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> LexicalCandidateGenerator:
+    """BM25 over the published index of all documents."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return LexicalCandidateGenerator(built(spark, sf_dir, "lexicon", lambda path: publish(documents, path, "docs", Analyzer())), Analyzer(), spark)
+
+
 def _bm25(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    counted = term_counts(table(spark, sf_dir, "documents"), Analyzer(), only=TERMS, keep=keep)
-    return positive(bm25_scan(counted, TERMS)).select("doc_id", "score", *keep)
+    scored = lexical(spark, sf_dir).scores(Analyzer().tokens(TEXT)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return scored.join(table(spark, sf_dir, "documents").select("doc_id", *keep), "doc_id") if keep else scored
 
 
 def _gathered(scored: DataFrame, limit: int = GATHER) -> DataFrame:
@@ -117,9 +138,9 @@ def analyzer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S_POSTINGS} SELECT term, CAST(df AS BIGINT) AS df, n, round(avgdl, 6) AS avgdl FROM freq CROSS JOIN stats")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = term_counts(table(spark, sf_dir, "documents"), Analyzer())
-    one = corpus_stats(counted).select("n", F.round("avgdl", 6).alias("avgdl"))
-    return document_frequency(postings(counted)).crossJoin(F.broadcast(one))
+    index = lexical(spark, sf_dir)
+    one = index.statistics().select("n", F.round("avgdl", 6).alias("avgdl"))
+    return document_frequency(index.current()[1]).crossJoin(F.broadcast(one))  # a single row
 
 
 @query(f"WITH {S_BM25} SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS BIGINT) AS gather_rank FROM bm25 QUALIFY gather_rank < {GATHER}")
@@ -129,7 +150,7 @@ def bm25_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S_BM25} SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS BIGINT) AS gather_rank FROM bm25 QUALIFY gather_rank < {GATHER}")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``bm25_gather``, from postings and statistics, the form that an index stores."""
+    """As ``bm25_gather``, from postings and statistics made of the raw documents in the plan itself."""
     counted = term_counts(table(spark, sf_dir, "documents"), Analyzer())
     scored = positive(bm25_scores(postings(counted), corpus_stats(counted), TERMS))
     return _gathered(scored).select("doc_id", F.round("gather_score", 6).alias("score"), "gather_rank")
@@ -287,10 +308,9 @@ def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One segment of what is present, in segment and row order; rows are numbered from partition totals."""
     rows, gone = _segments(spark, sf_dir)
     live = rows.join(present_rows(rows, gone), ["doc_id", "segment_id", "row"], "left_semi").select("segment_id", "row", "doc_id", "token_count")
-    counts = live.groupBy("segment_id").agg(F.count("*").alias("n"))
-    before = counts.select("segment_id", F.coalesce(F.sum("n").over(Window.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = running_offsets(live.groupBy("segment_id").agg(F.count("*").alias("n")), F.col("n"), ["segment_id"], [], "before").drop("n")  # a row a segment
     inside = F.row_number().over(Window.partitionBy("segment_id").orderBy("row")) - 1
-    return live.withColumn("inside", inside).join(F.broadcast(before), "segment_id").select("doc_id", (F.col("before") + F.col("inside")).alias("new_row"), "token_count")
+    return live.withColumn("inside", inside).join(before, "segment_id").select("doc_id", (F.col("before") + F.col("inside")).alias("new_row"), "token_count")
 
 
 S_NEW = "SELECT item_id AS doc_id, text, 'xx' AS lang, 'benchmark' AS source, CAST(length(text) AS BIGINT) AS n_chars FROM benchmark"
@@ -347,9 +367,10 @@ SELECT query_id, doc_id, round(score, 6) AS score, gather_rank, row_number() OVE
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline for several queries in one plan."""
     terms = sorted({t for ts in BATCH_TERMS.values() for t in ts})
-    counted = term_counts(table(spark, sf_dir, "documents"), Analyzer(), only=terms)
+    index = lexical(spark, sf_dir)
+    hits = index.current()[1].where(F.col("term").isin(terms)).withColumn("doc_id", F.col("doc_id").cast("long"))
     matrices = {q: _matrix(spark, sf_dir, ids) for q, ids in BATCH.items()}
-    found = search_many(postings(counted), corpus_stats(counted), BATCH_TERMS, GATHER, LIMIT, tokens(spark, sf_dir), matrices)
+    found = search_many(hits, index.statistics(), BATCH_TERMS, GATHER, LIMIT, tokens(spark, sf_dir), matrices)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -361,25 +382,25 @@ def normalize_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, vec_id, CAST(sum(1 + vec_id % 5) OVER (PARTITION BY label ORDER BY vec_id) - (1 + vec_id % 5) AS BIGINT) AS first_token FROM embeddings")
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.expr("1 + vec_id % 5")
-    run = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", (F.sum(n).over(run) - n).alias("first_token"))
+    return running_offsets(table(spark, sf_dir, "embeddings").select("label", "vec_id"), F.expr("1 + vec_id % 5"), ["vec_id"], ["label"], "first_token")
 
 
 @query("SELECT source, min(ts) AS as_of FROM (SELECT 'src' || (user_id % 5) AS source, max(ts) AS ts FROM events GROUP BY user_id) GROUP BY source")
 def as_of_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freshness: the oldest among the latest writes of a source's members."""
-    latest = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
-    return latest.groupBy(F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("source")).agg(F.min("ts").alias("as_of"))
+    return freshness(table(spark, sf_dir, "events"), [F.col("user_id")], F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")), F.col("ts"))
 
 
 @query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("digest"))
-    return per.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    found = repeated(table(spark, sf_dir, "documents"), [F.md5(F.col("text").cast("binary")).alias("digest")], F.col("doc_id"))
+    return found.withColumnRenamed("first", "first_id")
 
 
 @query(f"SELECT t.vec_id, round({S_DOT.format('t.embedding', 'q.embedding')}, 6) AS product FROM embeddings t CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_VECTORS[0]}) q")
 def dot_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = query_tokens(spark, sf_dir, QUERY_VECTORS[:1]).select(F.col("vector").alias("q"))
     return table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(q)).select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("product"))
+
+
+from heronry.plans import catalogue_stores  # noqa: E402, F401  (adds the queries over stores and pipelines)

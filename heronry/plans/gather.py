@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 
 from heronry.functions.text import Analyzer, term_counts
+from heronry.interfaces import CandidateGenerator
 from heronry.model import Gathered, Query, Representation, Subset
 from heronry.operators.lexical import as_candidates, bm25_scan, match_scores, positive
 from heronry.operators.subset import restrict_corpus
@@ -46,3 +48,24 @@ class Bm25Generator:
         scored = positive(bm25_scan(counted, terms))
         allowed = restrict_corpus(scored, subset, self.corpus)
         return Gathered(as_candidates(allowed, self.corpus, limit, "bm25"), self.as_of)
+
+
+class FusedGenerator:
+    """Several corpora in one list: each generator's best candidates, ranked together by score, corpus and id.
+
+    As fresh as the oldest of them. Documents of equal id in two corpora are two documents.
+    """
+
+    def __init__(self, *generators: CandidateGenerator) -> None:
+        if not generators:
+            raise ValueError("at least one generator is needed")
+        semantics = {g.score_semantics for g in generators}
+        if len(semantics) > 1:
+            raise ValueError(f"scores of different meaning can't be ranked together: {sorted(semantics)}")
+        self.generators, self.score_semantics = generators, semantics.pop()
+        self.requires = {name: r for g in generators for name, r in g.requires.items()}
+
+    def gather(self, query: Query, limit: int, *, subset: Subset | None = None) -> Gathered:
+        found = [g.gather(query, limit, subset=subset) for g in self.generators]
+        best = sorted((c for f in found for c in f.candidates), key=lambda c: (-c.gather_score, c.corpus, c.document_id))[:limit]
+        return Gathered([replace(c, gather_rank=i) for i, c in enumerate(best)], min(f.as_of for f in found))

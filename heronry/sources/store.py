@@ -13,11 +13,11 @@ import json
 import re
 import secrets
 import time
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 from pathlib import Path
-from typing import Literal
+from typing import Literal, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,11 @@ FORMAT = "heronry-vectors-1"
 SEMANTICS = {"float32": "float32-exact-full-maxsim", "int8": "int8-reconstructed-approximate-full-maxsim"}
 UNIT_TOLERANCE = 1.1e-3
 _MAX_ID = 2**63 - 1
+#: Requested ids that are broadcast, at most, by number and by characters.
+BROADCAST_IDS, BROADCAST_CHARS = 1_000_000, 32 << 20
+#: Times that a read is planned again because files of its commit are gone.
+ATTEMPTS = 8
+T = TypeVar("T")
 
 
 def segment_schema(encoding: str) -> str:
@@ -129,8 +134,25 @@ class StoreView:
         """Rows ``(doc_id, token_count)`` of present documents; no vectors are read."""
         return self.present().select("doc_id", "token_count")
 
+    def lengths(self, ids: DataFrame) -> DataFrame:
+        """``ids``, which have a ``doc_id``, with ``token_count``, null where the document isn't present."""
+        held = self.present(ids).select("doc_id", "token_count")
+        return ids.join(held, "doc_id", "left")
+
+    def fetched(self, ids: DataFrame) -> DataFrame:
+        """``ids(doc_id, ...)``, repeats included, with ``token_count`` and the stored values; an absent id is an error when rows are computed.
+
+        The form of ``fetch`` for any number of ids: nothing comes to the driver.
+        """
+        held = self.present(ids).drop("segment_id", "row").withColumn("__held", F.lit(True))
+        joined = ids.join(held, "doc_id", "left")
+        missing = F.raise_error(F.concat(F.lit("document "), F.coalesce("doc_id", F.lit("null")), F.lit(" is not in the vector store")))
+        return joined.withColumn("token_count", F.when(F.col("__held"), F.col("token_count")).otherwise(missing.cast("int"))).drop("__held")
+
     def _ids(self, ids: Sequence[str]) -> DataFrame:
-        return F.broadcast(self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "doc_id string"))
+        asked = list(dict.fromkeys(ids))
+        rows = self.spark.createDataFrame([(i,) for i in asked], "doc_id string")
+        return F.broadcast(rows) if len(asked) <= BROADCAST_IDS and sum(map(len, asked)) <= BROADCAST_CHARS else rows
 
     @property
     def document_ids(self) -> list[str]:
@@ -223,6 +245,21 @@ class VectorStore:
         self._view = StoreView(self.spark, self._at, now)
         return self._view
 
+    def read(self, use: Callable[[StoreView], T]) -> T:
+        """What ``use`` makes of the current view; planned again on a newer commit if files of this one are gone.
+
+        Only a missing file is a reason, and only if there is a newer commit:
+        else the store is damaged.
+        """
+        for attempt in range(1, ATTEMPTS + 1):
+            view = self.view()
+            try:
+                return use(view)
+            except Exception as error:
+                if attempt == ATTEMPTS or not files.vanished(error) or self._manifest() == view.manifest:
+                    raise
+        raise AssertionError
+
 
 class VectorStoreWriter:
     """The one writer of a store. What it stages is visible after ``commit``."""
@@ -320,8 +357,27 @@ class VectorStoreWriter:
     def _write(self, placed: DataFrame, own: int) -> None:
         at = f"{self._at}/segment-{own}"
         placed.write.parquet(at)
-        written = self.spark.read.schema(segment_schema(self.manifest.encoding)).parquet(at).agg(F.count("*"), F.coalesce(F.sum("token_count"), F.lit(0))).first()
-        self._staged = replace(self._staged, segments=(*self._staged.segments, (own, int(written[0]), int(written[1]))))
+        try:
+            n, tokens = self._checked(at, own)
+        except Exception:
+            files.remove(self.spark, at)
+            raise
+        self._staged = replace(self._staged, segments=(*self._staged.segments, (own, n, tokens)))
+
+    def _checked(self, at: str, own: int) -> tuple[int, int]:
+        """Documents and tokens of a written segment, or a ValueError if it doesn't read back as one."""
+        dim = self.manifest.representation.dimension
+        if self.manifest.encoding == "int8":
+            values = (F.size("codes") == F.col("token_count") * dim) & (F.size("scales") == F.col("token_count")) & all_finite(F.col("scales")) & F.forall("scales", lambda x: x > 0)
+        else:
+            values = (F.size("vectors") == F.col("token_count") * dim) & all_finite(F.col("vectors"))
+        whole = (F.col("segment_id") == own) & (F.col("row") >= 0) & F.col("doc_id").isNotNull() & (F.col("token_count") > 0) & values
+        found = self.spark.read.schema(segment_schema(self.manifest.encoding)).parquet(at).agg(
+            F.count("*").alias("n"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"), F.count_distinct("doc_id").alias("ids"), F.count_distinct("row").alias("rows"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("broken")
+        ).first()
+        if found["broken"] or found["ids"] != found["n"] or found["rows"] != found["n"]:
+            raise ValueError(f"the segment written to {at} doesn't read back whole: {found.asDict()}")
+        return int(found["n"]), int(found["tokens"])
 
     def delete(self, ids: Iterable[str]) -> int:
         """Stage the removal of present documents, staged ones included; returns how many there were."""

@@ -1,0 +1,171 @@
+"""Leases, numbered lines, packed sources, fused gatherers, and reads whose files are gone."""
+
+import json
+import threading
+from datetime import datetime, timedelta, timezone
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heronry import Candidate, Gathered, Query, Representation, Subset, VectorStore, VectorStoreWriter
+from heronry.plans.gather import FusedGenerator, TermMatchGenerator
+from heronry.plans.lexical_index import FORMAT, Generation, latest, publish
+from heronry.functions.text import Analyzer
+from heronry.sources import files
+from heronry.sources.inputs import read_numbered, read_packed
+from heronry.sources.lease import WriterLease
+from heronry.sources.npy_store import read_npy_store
+from heronry.streaming.indexer import apply_changes
+
+R = Representation("enc", "1", 4, True)
+NOW = datetime(2024, 5, 1, tzinfo=timezone.utc)
+
+
+def unit(n, seed=0):
+    x = np.random.default_rng(seed).normal(size=(n, 4)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_one_holds_the_lease_at_a_time(spark, tmp_path):
+    index, order = str(tmp_path / "index"), []
+    with WriterLease(spark, index):
+        with pytest.raises(TimeoutError):
+            WriterLease(spark, index, patience=0.3, pause=0.05).__enter__()
+        waiting = threading.Thread(target=lambda: [WriterLease(spark, index, pause=0.05).__enter__(), order.append("second")])
+        waiting.start()
+        order.append("first")
+    waiting.join(20)
+    assert order == ["first", "second"]
+
+
+def test_the_lease_of_a_process_that_ended_is_taken_over(spark, tmp_path):
+    import socket
+
+    index = str(tmp_path / "index")
+    (tmp_path / "index.writer").write_text(json.dumps({"host": socket.gethostname(), "pid": 2**22 + 7, "token": "x"}))
+    with WriterLease(spark, index, patience=5):
+        assert json.loads((tmp_path / "index.writer").read_text())["token"] != "x"
+    assert not (tmp_path / "index.writer").exists()
+    (tmp_path / "index.writer").write_text(json.dumps({"host": "elsewhere", "pid": 1, "token": "x"}))
+    with pytest.raises(TimeoutError, match="elsewhere"):
+        WriterLease(spark, index, patience=0.2, pause=0.05).__enter__()
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "b.jsonl").write_text('{"id": 3, "text": "x"}\n\n{"id": 4, "text": "y"}')
+    (folder / "a.jsonl").write_text('\n{"id": 1, "text": "p"}\n  \n{"id": 2, "text": "q"}\n')
+    (folder / "_SUCCESS").write_text("")
+    got = {r.position: (r.doc_id, r.text) for r in read_numbered(spark, str(folder)).collect()}
+    assert got == {0: ("1", "p"), 1: ("2", "q"), 2: ("3", "x"), 3: ("4", "y")}
+    assert read_numbered(spark, str(folder / "a.jsonl")).count() == 2
+    (folder / "c.jsonl").write_text('{"id": 1, "text": "again"}')
+    with pytest.raises(ValueError, match="unique"):
+        read_numbered(spark, str(folder))
+
+
+def test_packed_vectors_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    x, n = unit(9), np.array([1, 3, 2, 3])
+    np.save(tmp_path / "x.npy", x)
+    np.save(tmp_path / "n.npy", n)
+    monkeypatch.setattr("heronry.sources.inputs.PACKED_ROWS", 3)
+    rows = sorted(read_packed(spark, tmp_path / "x.npy", tmp_path / "n.npy").collect())
+    assert [r.token_count for r in rows] == n.tolist()
+    assert np.array_equal(np.concatenate([np.array(r.vectors, np.float32) for r in rows]).reshape(-1, 4), x)
+    np.save(tmp_path / "n.npy", n + 1)
+    with pytest.raises(Exception, match="divide"):
+        read_packed(spark, tmp_path / "x.npy", tmp_path / "n.npy").collect()
+
+
+def test_a_store_of_arrays_of_another_format_is_refused(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    manifest = {"format": "other-vectors-2", "store_id": "s", "encoding": "float32", "corpus": "c", "representation": R.to_dict(), "commit": 1, "next_segment_id": 0, "committed_at": 1.5, "segments": []}
+    (tmp_path / "a" / "manifest.json").write_text(json.dumps(manifest))
+    assert read_npy_store(spark, tmp_path / "a", "other-vectors-2").count() == 0
+    with pytest.raises(Exception, match="other-vectors-2"):
+        read_npy_store(spark, tmp_path / "a", "any-vectors-2").collect()
+
+
+def test_unordered_changes_of_one_document_are_refused(spark, tmp_path):
+    w = VectorStoreWriter.create(tmp_path / "s", "docs", R, spark=spark)
+    v = [1.0, 0.0, 0.0, 0.0]
+    twice = spark.createDataFrame([("a", 1, v), ("a", 1, v)], "doc_id string, token_count int, vectors array<float>")
+    with pytest.raises(ValueError, match="'a' is changed 2 times"):
+        apply_changes(w, twice)
+    apply_changes(w, twice.limit(1))
+    assert VectorStore(tmp_path / "s", spark).view().document_ids == ["a"]
+
+
+def test_a_reader_plans_again_when_its_files_are_gone(spark, tmp_path):
+    w, x = VectorStoreWriter.create(tmp_path / "s", "docs", R, spark=spark), unit(3)
+    w.append(["a"], x[:1], [1])
+    w.commit()
+    store, planned = VectorStore(tmp_path / "s", spark), []
+
+    def use(view):
+        planned.append(view.commit)
+        if len(planned) == 1:
+            w.append(["b"], x[1:2], [1])
+            w.compact()
+            w.commit()
+            w.vacuum(0)
+        return view.document_ids
+
+    assert store.read(use) == ["a", "b"] and planned == [1, 2]
+    files.remove(spark, f"{tmp_path}/s/segment-{w.manifest.segments[0][0]}")
+    with pytest.raises(Exception):  # no newer commit explains it
+        store.read(lambda view: view.document_ids)
+
+
+def test_a_segment_that_reads_back_broken_is_not_staged(spark, tmp_path, monkeypatch):
+    w = VectorStoreWriter.create(tmp_path / "s", "docs", R, spark=spark)
+    stage = w._write
+    monkeypatch.setattr(w, "_write", lambda placed, own: stage(placed.withColumn("vectors", F.slice("vectors", 1, 3)), own))
+    with pytest.raises(ValueError, match="read back"):
+        w.append(["a"], unit(1), [1])
+    assert not w._staged.segments and "segment-0" not in files.names(spark, str(tmp_path / "s"))
+
+
+def test_frames_of_ids(spark, tmp_path):
+    w, x = VectorStoreWriter.create(tmp_path / "s", "docs", R, spark=spark), unit(3)
+    w.append(["a", "b"], x, [1, 2])
+    w.commit()
+    view = VectorStore(tmp_path / "s", spark).view()
+    ids = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b")], "place int, doc_id string")
+    assert {r.place: r.token_count for r in view.fetched(ids).collect()} == {0: 2, 1: 1, 2: 2}
+    more = ids.unionAll(spark.createDataFrame([(3, "zz")], "place int, doc_id string"))
+    assert {r.place: r.token_count for r in view.lengths(more).collect()} == {0: 2, 1: 1, 2: 2, 3: None}
+    with pytest.raises(Exception, match="zz"):
+        view.fetched(more).collect()
+
+
+def test_fused_corpora(spark):
+    docs = spark.createDataFrame([("1", "fox fox"), ("2", "fox")], "doc_id string, text string")
+    old = NOW - timedelta(days=2)
+    fused = FusedGenerator(TermMatchGenerator(docs, "b", NOW), TermMatchGenerator(docs, "a", old))
+    got = fused.gather(Query("fox"), 3)
+    assert [(x.corpus, x.document_id, x.gather_rank) for x in got.candidates] == [("a", "1", 0), ("b", "1", 1), ("a", "2", 2)] and got.as_of == old
+    assert [x.corpus for x in fused.gather(Query("fox"), 9, subset=Subset().including("b", ["2"])).candidates] == ["b"]
+
+    class Other:
+        requires, score_semantics = {}, "other"
+
+        def gather(self, query, limit, *, subset=None):
+            return Gathered([Candidate("c", "x", 1.0, 0, "other")], NOW)
+
+    with pytest.raises(ValueError, match="meaning"):
+        FusedGenerator(TermMatchGenerator(docs, "b", NOW), Other())
+
+
+def test_records_of_a_lexical_index(spark, tmp_path):
+    docs, path = spark.createDataFrame([("1", "fox fox"), ("2", "")], "doc_id string, text string"), str(tmp_path / "i")
+    assert latest(spark, path) is None
+    for expected in range(4):
+        assert publish(docs, path, "c", Analyzer()) == expected
+    record = latest(spark, path)
+    assert (record.n, record.avgdl, record.sequence, len(record.earlier)) == (2, 1.0, 3, 1)
+    assert sorted(n for n in files.names(spark, path) if n.startswith("postings")) == sorted([record.folder, *record.earlier])
+    with pytest.raises(ValueError, match=FORMAT):
+        Generation.from_json('{"format": "x"}')
