@@ -1,12 +1,13 @@
 """Targets against a direct water filling, and what the mix takes."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from heronry.llm.mixing import mix_documents, mix_words, source_targets, split_tree, write_mix
+from heronry.llm.mixing import hypergeometric_sql, mix_documents, mix_words, source_targets, split_quotas, split_tree, write_mix
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -109,3 +110,73 @@ def test_written_shards_hold_the_mix_in_a_shuffled_order(spark, tmp_path):
         assert ids != sorted(ids)
         assert {r["source"] for r in rows[: len(rows) // 4]} == {"a", "b"}
     write_mix(df.where("false"), str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize(("id", "text", "n"), [(None, "w", 1000), (7, "a b c", 1000), (None, "w x", 333), (3, "one", 7)])
+def test_equal_rows_meet_the_target_to_the_word(spark, id, text, n):
+    """Rows without an id, and rows that are all the same."""
+    df = spark.createDataFrame([(id, "s", text)] * n, "doc_id long, source string, text string").repartition(3)
+    size = len(text.split())
+    got = mix_words(df).collect()
+    assert abs(sum(r.taken for r in got) - 1.5 * n * size) <= 1
+    assert max(r.taken for r in got) <= 2 * size
+
+
+def test_documents_without_an_id_are_told_apart(spark):
+    rows = [(None, "hot" if i % 3 else None, f"w{i} " * (1 + i % 5)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix_words(df, n_shards=4).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    of = {v: k for k, v in sizes.items()}
+    for r in got:
+        taken[of[r.source_size]] += r.taken
+    assert {s: taken[s] for s in sizes} == {s: pytest.approx(x, abs=1) for s, x in filled(sizes).items()}
+    assert {s for r in got for s in r.shards} == set(range(4))
+
+
+@pytest.mark.parametrize(("total", "marked", "drawn"), [(10, 4, 5), (50, 1, 25), (200, 150, 120), (7, 7, 3), (9, 0, 4), (5, 3, 0), (6, 2, 6)])
+def test_hypergeometric_quantiles(spark, total, marked, drawn):
+    """The share of quantiles that give a count is the count's chance."""
+    chance = {x: math.comb(marked, x) * math.comb(total - marked, drawn - x) / math.comb(total, drawn) for x in range(max(0, drawn - total + marked), min(marked, drawn) + 1)}
+    n = 4000
+    df = spark.range(n).select(F.expr(hypergeometric_sql(f"{total}L", f"{marked}L", f"{drawn}L", f"(id + 0.5D) / {n}")).alias("x"))
+    got = Counter(r.x for r in df.collect())
+    assert set(got) <= set(chance)
+    assert all(abs(got[x] / n - p) <= 1.5 / n for x, p in chance.items())
+
+
+@pytest.mark.parametrize("n_shards", [1, 2, 5, 16])
+def test_quotas_are_split_exactly(spark, n_shards):
+    """All blocks of every source are dealt, shards are even, and a source's share differs among shards as a draw's does."""
+    quotas = {"a": 700, "b": 90, None: 33, "": 1, "empty": 0}
+    df = spark.createDataFrame(list(quotas.items()), "source string, quota long")
+    ends = {r.source: r.ends for r in split_quotas(df, n_shards).collect()}
+    assert {s: e[-1] for s, e in ends.items()} == quotas and all(len(e) == n_shards for e in ends.values())
+    counts = {s: [y - x for x, y in zip([0, *e], e)] for s, e in ends.items()}
+    assert all(n >= 0 for c in counts.values() for n in c)
+    shards = [sum(c[k] for c in counts.values()) for k in range(n_shards)]
+    assert max(shards) - min(shards) <= 2
+    for c in counts.values():
+        mean = sum(c) / n_shards
+        assert all(abs(n - mean) <= 6 * math.sqrt(mean) + 1 for n in c)
+    if n_shards == 16:
+        assert len(set(counts["a"])) > 1
+
+
+def test_shards_take_what_their_quotas_say(spark):
+    blocks = spark.range(300).selectExpr("if(id < 200, 'a', null) AS source", "cast(id % 2 as int) AS pass", "cast(id div 2 as int) AS block")
+    ends = {r.source: r.ends for r in split_quotas(blocks.groupBy("source").agg(F.count("*").alias("quota")), 5).collect()}
+    got = Counter((r.source, r.shard) for r in split_tree(blocks, 5).collect())
+    assert got == Counter({(s, k): y - x for s, e in ends.items() for k, (x, y) in enumerate(zip([0, *e], e)) if y > x})
+
+
+def test_rows_of_the_mix_are_shuffled(spark):
+    """Within a task's rows, shard by shard in the order of the hash, long texts and repeated rows included."""
+    df = spark.createDataFrame([(i, "ab"[i % 2], "w " * 10) for i in range(3000)] + [(1, "a", "w " * 10), (9999, "a", "long " * 200_000)], "doc_id long, source string, text string").coalesce(1)
+    places = {r.doc_id: list(zip(r.shards, r.orders)) for r in mix_words(df, n_shards=3).collect()}
+    drawn = [r.doc_id for r in mix_documents(df, n_shards=3).select("doc_id").collect()]
+    at = [min(places[i]) if len(places[i]) == 1 else None for i in drawn]
+    known = [x for x in at if x is not None]
+    assert known == sorted(known) and drawn != sorted(drawn)
