@@ -34,22 +34,32 @@ _ARTICLE = frozenset("article main".split())
 #: Elements that a start tag of the same kind ends.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body table td th ul ol dl article section div main".split())
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|discussion|widget|toolbar|pagination|pager|skip-link|copyright|disclaimer|tags)(?:$|[\s_-])",
-    re.I,
+#: Words in names of elements that hold what readers write, even if it is longer than the article.
+_READERS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Words in names of elements beside an article; wrappers of a whole page have them, too.
+_BESIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner sidebar menu navbar nav navigation breadcrumb breadcrumbs footer header masthead "
+    "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended recommendations widget toolbar pagination pager skiplink copyright disclaimer tags".split()
 )
+#: Classes of elements that hold a page's content, whatever else they are called.
+_WHOLE = frozenset("page content article post entry story main wrapper layout site".split())
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Names that tell whether a layout has such a part, not that this is one.
 _LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[-_]\S+", re.I)
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
 class _Node:
-    __slots__ = ("tag", "key", "parent", "skip", "score")
+    """An open element. ``skip``: nothing in it counts. ``noise``: the nearest element around, itself included, whose name says that it is beside the article."""
 
-    def __init__(self, tag: str, key: str, parent: _Node | None, skip: bool) -> None:
+    __slots__ = ("tag", "key", "parent", "skip", "noise", "readers", "whole", "score", "worth", "marks")
+
+    def __init__(self, tag: str, key: str, parent: _Node | None, skip: bool, named: str = "") -> None:
         self.tag, self.key, self.parent, self.skip = tag, key, parent, skip
-        self.score = 0.0
+        self.readers, self.whole = named == "readers", named == "whole"
+        self.noise: _Node | None = self if named else parent.noise if parent is not None else None
+        self.score = self.worth = 0.0
+        self.marks = 0  # of a named element: blocks in it that are part of an article
 
     def path(self) -> str:
         steps, node = [], self
@@ -59,21 +69,90 @@ class _Node:
         return ">".join(reversed(steps))
 
 
-def _named(tag: str, attrs: str) -> tuple[str, bool]:
-    """The generalised step of an element, and whether its names tell that it is no content."""
+def _said(value: str) -> str:
+    """What the words of a class or id say: ``readers``, ``beside`` or nothing; camel case, dashes and underlines part words."""
+    words = [w.lower() for w in _WORDS.findall(_LAYOUT.sub("", value))]
+    if not _READERS.isdisjoint(words):
+        return "readers"
+    return "" if _BESIDE.isdisjoint(words) and not any(a == "side" and b == "bar" or a == "skip" and b == "link" for a, b in zip(words, words[1:], strict=False)) else "beside"
+
+
+def _named(tag: str, attrs: str) -> tuple[str, str]:
+    """The generalised step of an element, and what its names say of it."""
     if not attrs or "=" not in attrs:
-        return tag, False
-    classes, noise = "", False
+        return tag, ""
+    classes, said = "", ""
     for m in _ATTR.finditer(attrs):
         value, kind = m[2] or m[3] or m[4] or "", m[1].lower()
         if kind == "role":
-            noise |= value.strip().lower() in _NOISE_ROLE
+            said = said or "beside" * (value.strip().lower() in _NOISE_ROLE)
         else:
-            noise |= tag not in ("html", "body", "article", "main") and bool(_NOISE.search(_LAYOUT.sub("", value)))
+            if tag not in ("html", "body", "article", "main") and said != "readers":
+                said = _said(value) or said
             if kind == "class":
                 classes = value
+    if said == "beside" and not _WHOLE.isdisjoint(classes.lower().split()):
+        said = "whole"
     names = sorted({re.sub(r"[-_]*(?:\d[\da-f]*)+$|\d+", "", c.lower()) for c in classes.split()} - {""})
-    return f"{tag}.{'.'.join(names)}" if names else tag, noise
+    return f"{tag}.{'.'.join(names)}" if names else tag, said
+
+
+def _content(raw: list[tuple[str, _Node, float]], seen: list[_Node]) -> tuple[list[tuple[str, _Node]], list[_Node]]:
+    """Of all blocks and containers of a page those that aren't beside the article, with their scores.
+
+    A named element is a wrapper, and not beside the article, if it holds an
+    article while none stands outside, or more text than stands outside and
+    either other named elements or a class of elements that hold content. If nothing is left, the elements named for
+    what they are beside count as wrappers, and last those of readers.
+    """
+    named = {id(n): n for _, leaf, _ in raw if (n := leaf.noise) is not None}
+    for n in list(named.values()):
+        while (n := n.parent.noise if n.parent is not None else None) is not None:
+            named[id(n)] = n
+    wrappers: set[int] = set()
+    if named:
+        outer: set[int] = set()  # named elements around other ones
+        for n in named.values():
+            if (up := n.parent.noise if n.parent is not None else None) is not None:
+                outer.add(id(up))
+        free, article = 0.0, False
+        for _, leaf, worth in raw:
+            if leaf.noise is None:
+                free += worth
+                article = article or _meant(leaf) is not None
+            else:
+                leaf.noise.worth += worth
+        for n in named.values():
+            if not n.readers and ((n.marks and not article) or ((id(n) in outer or n.whole) and n.worth > free)):
+                wrappers.add(id(n))
+
+    def open_(n: _Node | None) -> bool:
+        while n is not None:
+            if id(n) not in wrappers:
+                return False
+            n = n.parent.noise if n.parent is not None else None
+        return True
+
+    kept = [r for r in raw if open_(r[1].noise)]
+    for last in (False, True):
+        if kept:
+            break
+        wrappers |= {i for i, n in named.items() if last or not n.readers}
+        kept = [r for r in raw if open_(r[1].noise)]
+    for _, node, worth in kept:
+        node = _around(node)
+        node.score += worth
+        above = _around(node.parent) if node.parent is not None else None
+        if above is not None and above.tag in _CONTAINER:
+            above.score += 0.5 * worth
+    return [(text, _around(n)) for text, n, _ in kept], [n for n in seen if open_(n.noise)]
+
+
+def _around(node: _Node) -> _Node:
+    """The nearest container, the element itself included; the root without one."""
+    while node.tag not in _CONTAINER and node.parent is not None:
+        node = node.parent
+    return node
 
 
 def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
@@ -91,17 +170,17 @@ def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
             block = " ".join("".join(text).split())
             text.clear()
             if block:
-                node = stack[-1]
-                while node.tag not in _CONTAINER and node.parent is not None:
-                    node = node.parent
                 worth = max(0.0, len(block) - 2.0 * links) * (0.3 if stack[-1].tag == "li" else 1.0)
-                node.score += worth
-                above = node.parent
-                while above is not None and above.tag not in _CONTAINER:
-                    above = above.parent
-                if above is not None:
-                    above.score += 0.5 * worth
-                blocks.append((block, node))
+                blocks.append((block, stack[-1], worth))
+                if stack[-1].noise is not None and (article := _meant(stack[-1])) is not None and article.parent is not None:
+                    around = []
+                    n = article.parent.noise
+                    while n is not None:
+                        around.append(n)
+                        n = n.parent.noise if n.parent is not None else None
+                    if not any(n.readers for n in around):
+                        for n in around:
+                            n.marks += 1
         links = 0
 
     while pos < end:
@@ -164,13 +243,39 @@ def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
             continue
         if tag == "a":
             in_link += 1
-        key, noise = _named(tag, attrs)
-        node = _Node(tag, key, stack[-1], stack[-1].skip or tag in _SKIP or noise)
+        key, said = _named(tag, attrs)
+        if tag in _BLOCK and stack[-1].skip and tag not in _SKIP:
+            _reopen(stack)  # a block inside an inline element makes it a wrapper like any other
+        inline = bool(said) and tag not in _BLOCK
+        node = _Node(tag, key, stack[-1], stack[-1].skip or tag in _SKIP or inline, said)
         stack.append(node)
         if tag in _CONTAINER and not node.skip:
             containers.append(node)
     flush()
-    return blocks, containers or [root]
+    found, open_ = _content(blocks, containers)
+    return found, open_ or [root]
+
+
+def _meant(node: _Node | None) -> _Node | None:
+    """The outermost element around this one, itself included, that is an article by its meaning."""
+    found = None
+    while node is not None:
+        if node.tag in _ARTICLE:
+            found = node
+        node = node.parent
+    return found
+
+
+def _reopen(stack: list[_Node]) -> None:
+    """Let the text of open inline elements count that were skipped for their names alone."""
+    for at, n in enumerate(stack):
+        if n.skip:
+            if n.tag in _SKIP:
+                return
+            if n.noise is n:
+                n.skip = False
+            else:
+                n.skip = stack[at - 1].skip if at else False
 
 
 def _best(containers: list[_Node]) -> _Node:
@@ -293,9 +398,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row ``(page_id, url, text, n_chars)`` per row of ``pages``.
 
     ``text`` is the article's text, empty for null or empty html and for pages
-    without content; ``n_chars`` counts its code points. Pages with a null url
-    share the empty host. Repeated rows give rows of their own, an empty table
-    none; other columns are not read.
+    without content; ``n_chars`` counts its code points. Pages of any length
+    are read whole. Pages with a null url share the empty host. Of a host's
+    paths with as many votes the one with more text comes first, then the
+    lesser path. Repeated rows give rows of their own, an empty table none;
+    other columns are not read, whatever their names.
     """
     kept = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     placed = _placed(kept, "url", "html")
