@@ -1,8 +1,8 @@
 """URL rules, and gradient-boosted trees on lexical features where no rule fits.
 
-Rules decide what they fit. The trees learn from labelled URLs: those that a
-rule decides, those whose host holds a word of a block list, and other URLs as
-allowed examples. They are fitted on a bounded sample, with features that count
+Rules decide what they fit. The trees learn from labelled URLs, which the
+caller gives; without any, from those that a rule decides, and then carry the
+rules over to URLs that look alike. They are fitted on a bounded sample, with features that count
 the labels of all URLs by host suffix; every URL is scored.
 """
 
@@ -41,8 +41,6 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Parts of host labels that mark examples to block, where no rule decides.
-BLOCK_WORDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "farm", "free", "gamble", "pills", "porn", "spam", "track", "viagra", "xxx")
 #: Labelled URLs that the trees are fitted on, at most.
 FIT_ROWS = 20_000
 #: Suffixes of one kind whose counts are broadcast, at most.
@@ -272,13 +270,11 @@ def fit_urls(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> UrlModel:
     return UrlModel(counts, overall, BoostedTrees.fit(x, block, np.ones(len(block))))
 
 
-def label_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, words: tuple[str, ...] = BLOCK_WORDS) -> DataFrame:
-    """Rows ``(url, block)``: by the rule that fits, else 1 if a part of the host is a block word, else 0."""
+def label_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows ``(url, block)`` of the URLs that a rule fits: 1 if it blocks."""
     url = F.col(url_col).cast("string")
-    rows = pages.select(url.alias("url"), url_host(url).alias("host"), url_path(url).alias("path"))
-    rule = fitting_rule(F.col("host"), F.col("path"), rules)
-    listed = F.arrays_overlap(F.split("host", "[-._0-9]+"), F.array(*map(F.lit, words)))
-    return rows.where("host <> ''").select("url", F.coalesce((rule["verdict"] == "block").cast("int"), listed.cast("int")).alias("block"))
+    rows = pages.select(url.alias("url"), fitting_rule(url_host(url), url_path(url), rules).alias("fit"))
+    return rows.where("fit is not null").select("url", (F.col("fit.verdict") == "block").cast("int").alias("block"))
 
 
 def judge_urls(
@@ -292,11 +288,14 @@ def judge_urls(
 ) -> DataFrame:
     """One row ``(page_id, host, path, rule, verdict, score)`` per row of ``pages``.
 
-    The verdict is the longest fitting rule's, else ``block`` if the trees give
-    ``threshold`` or more; ``score`` is their probability to block. Without
-    ``labelled(url, block)`` the pages' own URLs are labelled by
-    ``label_urls``. Null URLs and URLs without ``://`` have empty host and path
-    and are allowed. Repeated rows give rows of their own, an empty table none.
+    The verdict is the longest fitting rule's, of rules of equal length the
+    last one's, else ``block`` if the trees give ``threshold`` or more; ``score``
+    is their probability to block. Trees are fitted on ``labelled(url, block)``,
+    or without it on what the rules say of the pages' own URLs; if all labels
+    agree, or there are none, every score is one number. Null URLs and URLs
+    without ``://`` have empty host and path and are allowed. URLs of any length
+    are read whole. Repeated rows give rows of their own, an empty table none;
+    other columns are not read, whatever their names.
     """
     model = fit_urls(label_urls(pages, url_col, rules) if labelled is None else labelled, fit_rows)
     url = F.col("url")

@@ -1,12 +1,14 @@
 """Rules against a direct reading, features, trees on held-out URLs."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heronry.llm.url_filter import FEATURES, RULES, BoostedTrees, SuffixRates, features, fit_urls, fitting_rule, judge_urls, url_path
+from heronry.llm.html_extract import url_host
+from heronry.llm.url_filter import FEATURES, RULES, BoostedTrees, SuffixRates, features, fit_urls, fitting_rule, judge_urls, label_urls, url_path
 
 URLS = [
     None, "", "no scheme", "://", "http://", "http://com", "http://com/", "http://COM/x", "https://example.com/en/1", "https://a.example.com/en/1", "https://www.example.com/en/1", "https://x.www.example.com/en/?q",
@@ -103,3 +105,67 @@ def test_expressions_take_columns(spark):
     df = spark.createDataFrame([("com", "/a")], "h string, p string")
     assert df.select(fitting_rule(F.col("h"), F.col("p"))["rule"]).first()[0] == "com/"
     assert df.select(url_path(F.lit("a://b\nc/d\ne?f"))).first()[0] == "/d\ne"
+
+
+def slow_probability(model, row):
+    """A second reading of the trees: one row, one node at a time."""
+    z = model.start
+    for tree in model.trees:
+        node = 0
+        while tree[node][0] >= 0:
+            node = int(tree[node][2] if row[int(tree[node][0])] <= tree[node][1] else tree[node][3])
+        z += tree[node][4]
+    return 1 / (1 + np.exp(-z))
+
+
+def slow_suffixes(url):
+    host = direct(url)[0]
+    path = url.partition("://")[2][len(host) :].split("?")[0].split("#")[0]
+    parts = host.split(".")
+    return [parts[-1], ".".join(parts[-2:]), ".".join(parts[-3:]), parts[-1] + "/" + (path.split("/") + [""])[1]]
+
+
+def test_verdicts_equal_a_second_reading(spark):
+    """Suffix counts by hand over all labels of the rules, features, trees and verdicts, page by page."""
+    r = random.Random(8)
+    urls = [f"http://{r.choice(['www.', ''])}{r.choice('abc')}{r.randrange(9)}.{r.choice(['com', 'net', 'org', 'example.com'])}/{r.choice(['es', 'fr', 'en', 'de'])}/{r.randrange(10**6)}" for _ in range(400)] + [None, "x", "http://new.de/es/1?a=1#b"]
+    df = spark.createDataFrame(list(enumerate(urls)) + [(9999, urls[0])], "page_id long, url string")
+    labels = {u: int(direct(u)[3] == "block") for u in urls if u and direct(u)[2]}
+    counts = [{} for _ in range(4)]
+    for u, bad in labels.items():
+        for k, s in enumerate(slow_suffixes(u)):
+            n, b = counts[k].get(s, (0, 0))
+            counts[k][s] = n + 1, b + bad
+    overall = sum(labels.values()) / len(labels)
+    model = fit_urls(label_urls(df))
+    assert model.overall == pytest.approx(overall)
+    for row in judge_urls(df).collect():
+        u = urls[0] if row.page_id == 9999 else urls[row.page_id]
+        rates = [(b + 5 * overall) / (n + 5) for n, b in (c.get(s, (0, 0)) for c, s in zip(counts, slow_suffixes(u or ""), strict=True))]
+        p = slow_probability(model.trees, [*features([u or ""], np.zeros((1, 4)))[0][:10], *rates])
+        assert row.score == pytest.approx(p)
+        host, _, rule, verdict = direct(u)
+        assert (row.rule, row.verdict) == (rule, verdict or ("block" if host and p >= 0.5 else "allow"))
+
+
+def test_labels_are_the_rules_or_the_callers(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://a.net/es/"), (3, "http://cheap-pills.org/"), (4, None)], "page_id long, url string")
+    assert sorted(map(tuple, label_urls(df).collect())) == [("http://a.com/x", 0), ("http://a.net/es/", 1)]
+    own = spark.createDataFrame([(f"http://s{i}.{d}/", int(d == "bad")) for i in range(60) for d in ("bad", "fine")], "url string, block int")
+    pages = spark.createDataFrame([(1, "http://new.bad/"), (2, "http://new.fine/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in judge_urls(pages, labelled=own).collect()} == {1: "block", 2: "allow"}
+    assert {r.score for r in judge_urls(pages).collect()} == {judge_urls(pages).first().score}  # no rule fits: no labels
+
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.1")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_out_urls_of_the_rules(spark):
+    """Trees fitted on the rules' labels of half of the hosts, against the rules on the other half."""
+    labelled = label_urls(spark.read.parquet(f"{SF}/pages.parquet")).withColumn("half", F.pmod(F.xxhash64(url_host(F.col("url"))), F.lit(2)))
+    model = fit_urls(labelled.where("half = 0").drop("half"))
+    rows = model.scored(labelled.where("half = 1").drop("half")).collect()
+    right = np.mean([(r.score >= 0.5) == (r.block == 1) for r in rows])
+    print(f"{len(rows)} URLs, {sum(r.block for r in rows)} to block, {right:.4f} right")
+    assert right >= 0.95
