@@ -3,8 +3,11 @@
 Heuristic labellers vote good, bad or abstain on every document. Expectation
 maximisation over the counts of all vote patterns estimates how often each
 labeller is right about each class, which gives every pattern a posterior. A
-linear scorer on hashed byte trigrams is trained on the posteriors of a
-bounded sample and scores every whole text.
+linear scorer on hashed features only is trained on the posteriors of a bounded
+sample and scores every whole text. Its features are a text's byte trigrams,
+and how far back each word and each line occurred last, counted in the cells
+of a hash and kept as small numbers: a sketch of fixed size, so that texts go
+through Python once, for votes and sketch.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from heronry.llm.scratch import cut
 #: Documents that the scorer is trained on, at most: half of them from either class.
 FIT_DOCS = 4096
 #: Hashed features, as a power of two.
-BITS = 14
+BITS = 10
+#: Kinds of features, which share the cells; the counts of a kind are shares of its own total.
+TRIGRAM, WORD_GAP, LINE_GAP = 0, 1, 2
 _PIECE = 1 << 20
 
 _KIND = np.zeros(256, np.uint8)
@@ -52,10 +57,10 @@ LABELLERS: dict[str, tuple[float, float]] = {
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
 
-def measures(data: bytes) -> np.ndarray:
+def measures(data: bytes, words: list[bytes] | None = None) -> np.ndarray:
     """The measure of each labeller on a UTF-8 text; NaN where it abstains, as all do on fewer than 20 words."""
     out = np.full(len(LABELLERS), np.nan)
-    words = data.split()
+    words = data.split() if words is None else words
     n = len(words)
     if n < 20:
         return out
@@ -142,48 +147,61 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Acc
     return Accuracies(prior, table)
 
 
-def hashed(data: bytes) -> Iterator[np.ndarray]:
-    """Hashes of all byte trigrams of a text, piece by piece."""
+def _cells(kind: int, value: np.ndarray) -> np.ndarray:
+    """The cells of features of a kind, by multiplicative hashing."""
+    return (value.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(kind) * np.uint32(0x7F4A7C15)) >> np.uint32(32 - BITS)
+
+
+def _gaps(items: list[bytes]) -> np.ndarray:
+    """For each item the binary logarithm of how far back its equal stands, rounded up to 16; 31 for the first of its kind."""
+    last: dict[bytes, int] = {}
+    out = np.empty(len(items), np.int64)
+    for i, x in enumerate(items):
+        out[i] = i - last.get(x, -(1 << 40))
+        last[x] = i
+    return np.where(out > 1 << 39, 31, np.minimum(16, np.ceil(np.log2(np.maximum(out, 1))).astype(np.int64)))
+
+
+def sketch(data: bytes, words: list[bytes] | None = None) -> np.ndarray:
+    """The hashed features of a whole text: of each cell the square root of its share, by 255 steps. Zeros for an empty text."""
+    size = 1 << BITS
+    total = np.zeros(size)
+    trigrams, n = np.zeros(size, np.int64), 0
     for at in range(0, max(0, len(data) - 2), _PIECE):
         b = np.frombuffer(data[at : at + _PIECE + 2], np.uint8).astype(np.uint32)
-        yield (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)
+        trigrams += np.bincount(_cells(TRIGRAM, b[:-2] * np.uint32(0x10001) + b[1:-1] * np.uint32(0x101) + b[2:]), minlength=size)
+        n += len(b) - 2
+    if n:
+        total += trigrams / n
+    for kind, items in ((WORD_GAP, data.split() if words is None else words), (LINE_GAP, [x for x in data.split(b"\n") if x.strip()])):
+        if items:
+            total += np.bincount(_cells(kind, _gaps(items)), minlength=size) / len(items)
+    return np.rint(255 * np.sqrt(total / 3)).astype(np.uint8)
 
 
 class Scorer(NamedTuple):
-    """Weights of the hashed trigrams, then of the measures, then a bias."""
+    """Weights of the hashed features, then a bias."""
 
     weights: np.ndarray
 
-    def score(self, data: bytes, found: np.ndarray) -> float:
-        """The chance that a text with the measures ``found`` is good; 0 for one of fewer than three bytes."""
-        total, n, size = 0.0, 0, 1 << BITS
-        for h in hashed(data):
-            total, n = total + float(self.weights[h].sum()), n + len(h)
-        if not n:
-            return 0.0
-        z = total / n + float(np.nan_to_num(found) @ self.weights[size:-1]) + self.weights[-1]
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+    def score(self, sketches: np.ndarray) -> np.ndarray:
+        """The chance of each row of sketches to be a good text's; 0 for an empty one."""
+        z = sketches.astype(np.float64) @ (self.weights[:-1] / 255) + self.weights[-1]
+        return np.where(sketches.any(axis=1), 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
 
 
-def train(index: np.ndarray, value: np.ndarray, lengths: np.ndarray, found: np.ndarray, target: np.ndarray, rounds: int = 200, decay: float = 1e-5) -> Scorer:
-    """Logistic regression by Adam on the whole batch.
-
-    ``index`` and ``value`` hold the features of all rows one after the other,
-    ``lengths`` how many a row has, ``found`` its measures.
-    """
-    size = 1 << BITS
-    w = np.zeros(size + len(LABELLERS) + 1)
+def train(sketches: np.ndarray, target: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> Scorer:
+    """Logistic regression on sketches by Adam on the whole batch."""
+    w = np.zeros((1 << BITS) + 1)
     if not len(target):
         return Scorer(w)
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    dense = np.hstack([np.nan_to_num(found), np.ones((len(target), 1))])
+    x = np.hstack([sketches.astype(np.float64) / 255, np.ones((len(target), 1))])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.bincount(of, value * w[index], len(target)) + dense @ w[size:]
-        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target) / len(target)
-        g = np.append(np.bincount(index, value * error[of], size), error @ dense) + decay * w
+        error = (1 / (1 + np.exp(-np.clip(x @ w, -60, 60))) - target) / len(target)
+        g = error @ x + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return Scorer(w)
 
 
@@ -192,54 +210,50 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def vote_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(doc_id, pattern int)``: the votes on each document as digits to base three."""
+    """Rows ``(doc_id, pattern int, sketch binary)``: the votes on each document as digits to base three, and its hashed features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 3 ** np.arange(len(LABELLERS))
         for b in batches:
-            found = [int(votes(measures(x.as_py() or b"")) @ power) for x in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(found, pa.int32())], names=["doc_id", "pattern"])
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                texts = [x.as_py() or b"" for x in part.column(1)]
+                split = [t.split() for t in texts]
+                found = [int(votes(measures(t, w)) @ power) for t, w in zip(texts, split, strict=True)]
+                kept = [sketch(t, w).tobytes() for t, w in zip(texts, split, strict=True)]
+                yield pa.record_batch([part.column(0), pa.array(found, pa.int32()), pa.array(kept, pa.binary())], names=["doc_id", "pattern", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, pattern int")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, pattern int, sketch binary")
+
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, 1 << BITS)
 
-def fit(docs: DataFrame, voted: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> tuple[Accuracies, Scorer]:
+
+def fit(voted: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[Accuracies, Scorer]:
     """Accuracies from the votes on all documents, and the scorer trained on ``fit_docs`` of them at most.
 
-    The sample takes documents in order of a hash of their id, as many from
-    patterns held to be good as from the others.
+    The sample takes documents in order of a hash of their id and sketch, as
+    many from patterns held to be good as from the others.
     """
-    spark = docs.sparkSession
+    spark = voted.sparkSession
     counted = voted.groupBy("pattern").count().orderBy("pattern").collect()  # 3 ** len(LABELLERS) rows at most
     ids = np.array([r["pattern"] for r in counted], int)
     digits = ids[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     found = estimate(digits, np.array([r["count"] for r in counted]))
     posterior = found.posterior(digits)
     known = spark.createDataFrame([(int(i), float(p)) for i, p in zip(ids, posterior, strict=True)], "pattern int, posterior double")
-    scored = voted.join(F.broadcast(known), "pattern").where("doc_id is not null").groupBy("doc_id").agg(F.min("posterior").alias("posterior"))
-    order = F.xxhash64("doc_id", F.lit(11))
-    parts = [scored.where(side).orderBy(order, "doc_id").limit(fit_docs // 2) for side in ("posterior < 0.5", "posterior >= 0.5")]
-    sample = parts[0].unionAll(parts[1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                data, n = b.column(2)[i].as_py() or b"", np.zeros(1 << BITS, np.int64)
-                for h in hashed(data):
-                    n += np.bincount(h, minlength=1 << BITS)
-                at = np.flatnonzero(n)
-                rows = [[at.astype(np.int32)], [(n[at] / max(1, n.sum())).astype(np.float32)], [measures(data)]]
-                yield pa.record_batch([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *map(pa.array, rows)], names=["doc_id", "posterior", "at", "share", "found"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = _texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "posterior").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(run, f"doc_id {kind}, posterior double, at array<int>, share array<float>, found array<double>").orderBy("doc_id").toArrow()
-    at, share, measured = (rows.column(c).combine_chunks() for c in ("at", "share", "found"))
-    lengths = np.diff(at.offsets.to_numpy()) if len(at) else np.zeros(0, int)
-    flat = (x.flatten().to_numpy(zero_copy_only=False) for x in (at, share))
-    found_rows = measured.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(LABELLERS))
-    return found, train(*flat, lengths, found_rows, rows.column("posterior").to_numpy())
+    scored = voted.join(F.broadcast(known), "pattern").where("doc_id is not null").withColumn("h", F.xxhash64("sketch"))
+    order = [F.xxhash64("doc_id", F.lit(11)), "doc_id", "h", "pattern"]
+    # the sketches of the sample are read in a second pass over the small columns' winners
+    parts = [scored.where(side).select("doc_id", "h", "posterior", "pattern").orderBy(*order).limit(fit_docs // 2) for side in ("posterior < 0.5", "posterior >= 0.5")]
+    chosen = parts[0].unionAll(parts[1]).distinct()
+    rows = scored.drop("posterior").join(F.broadcast(chosen), ["doc_id", "h", "pattern"]).groupBy("doc_id", "h", "pattern").agg(F.first("posterior").alias("posterior"), F.first("sketch").alias("sketch"))
+    table = rows.orderBy("doc_id", "h").toArrow().combine_chunks()
+    if not table.num_rows:
+        return found, train(np.zeros((0, 1 << BITS)), np.zeros(0))
+    return found, train(_sketches(table.column("sketch")), table.column("posterior").to_numpy())
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, threshold: float = 0.5) -> DataFrame:
@@ -247,34 +261,40 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
     ``posterior`` is the weak labels' chance of a good document, ``score`` the
     trained scorer's, and a document is kept if its score is ``threshold`` or
-    more. Null and empty texts score 0 and are not kept. Repeated rows and null
-    ids give rows of their own, an empty table none.
+    more. Labellers abstain on texts of fewer than 20 words, ``compressible``
+    below 400 bytes and ``lines`` below four lines, where their measures say
+    little; such texts are scored like others. Texts of any length are read
+    whole. Null and empty texts score 0 and are not kept. Repeated rows and
+    null ids give rows of their own, an empty table none; other columns are not
+    read, whatever their names.
     """
     voted = cut(vote_table(docs, id_col, text_col), "votes")
-    found, scorer = fit(docs, voted, id_col, text_col, fit_docs)
+    found, scorer = fit(voted, fit_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_py() or b"" for x in b.column(1)]
-            measured = np.array([measures(t) for t in texts]).reshape(-1, len(LABELLERS))
-            scores = [scorer.score(t, m) for t, m in zip(texts, measured, strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(found.posterior(votes(measured))), pa.array(scores, pa.float64())], names=["doc_id", "posterior", "score"])
+            digits = b.column(1).to_numpy()[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
+            yield pa.record_batch([b.column(0), pa.array(found.posterior(digits)), pa.array(scorer.score(_sketches(b.column(2))))], names=["doc_id", "posterior", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, posterior double, score double")
+    out = voted.mapInArrow(run, f"doc_id {kind}, posterior double, score double")
     return out.withColumn("kept", F.col("score") >= threshold)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that ``classify`` rejects, judged row by row; columns pass unchanged."""
-    voted = cut(vote_table(docs, id_col, text_col), "votes")
-    _, scorer = fit(docs, voted, id_col, text_col, options.get("fit_docs", FIT_DOCS))
+    """``docs`` without the documents that ``classify`` rejects, judged row by row; columns pass unchanged.
+
+    Rows are sketched again where they pass, as joining verdicts back would
+    move all texts. Null, empty and very long texts, repeated rows, null ids
+    and clashing names are treated as in ``classify``; an empty table stays one.
+    """
+    _, scorer = fit(cut(vote_table(docs, id_col, text_col), "votes"), options.get("fit_docs", FIT_DOCS))
     threshold = options.get("threshold", 0.5)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            texts = (x.as_py() or b"" for x in column)
-            yield pa.array([scorer.score(t, measures(t)) >= threshold for t in texts], pa.bool_())
+            sketches = [sketch(x.as_py() or b"") for x in column]
+            yield pa.array(scorer.score(np.array(sketches, np.uint8).reshape(-1, 1 << BITS)) >= threshold, pa.bool_())
 
     good = F.arrow_udf(run, "boolean")
     return docs.where(good(F.col(text_col).cast("string").cast("binary")))
