@@ -2,13 +2,15 @@
 
 Word, symbol, line and repetition counts are taken of every whole text. Each
 rule rejects documents whose measure is above a cutoff. Cutoffs are chosen per
-stratum on labelled documents: walking from the loosest cutoff of a fixed grid
-to the strictest, a cutoff is accepted while an exact binomial test shows the
-rate of good documents it rejects to be below the permitted risk, and the walk
-ends at the first that fails (fixed-sequence testing, which needs no
-correction along the grid). The error level is divided by the number of strata
-and rules (Bonferroni), so that all accepted cutoffs hold at once; of them the
-one is taken that tells bad documents from good ones best.
+stratum on one half of the labelled documents, by a hash of the id: walking
+from the loosest cutoff of a fixed grid to the strictest, those whose rejected
+good documents an exact binomial test shows to be few, and of them the one that
+tells bad documents from good ones best. The other half, which has no part in
+the choice, decides what is used: a stratum's rules are added one by one, the
+best first, as long as an exact binomial test shows that all rules so far
+together reject less than the permitted share of its good documents. As that
+order is fixed before the test and the test ends at the first failure, it needs
+no correction in a stratum; over strata the error level is divided (Bonferroni).
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 
 from heronry.llm.scratch import cut, small_or_not
 
-#: Share of a stratum's good documents that one rule may reject, and the chance that any rule of any stratum rejects more.
+#: Share of a stratum's good documents that all rules together may reject, and the chance that they reject more in any stratum.
 RISK, ERROR = 0.02, 0.05
 #: Share of bad documents among the labelled ones that a cutoff rejects, at least.
 PRECISION = 0.9
 #: Cutoffs on the grid of each rule.
 STEPS = 400
-_SPACE = " \\t-\\r"
+#: White space other than the space, and what counts as a symbol; all of one byte.
+_OTHER_SPACE, _SYMBOLS = "\t\n\x0b\x0c\r", "#*$%&|<>"
 
 #: Rule: measure in [0, 1] from the base columns; high is bad.
 RULES: dict[str, str] = {
@@ -43,18 +46,13 @@ def _bind(value: Column, use) -> Column:
 def repeat_words(words: Column, window: int = 3) -> Column:
     """Words that lie in a window of ``window`` words found twice or more in the array ``words``.
 
-    Windows are compared by 64-bit hashes of their words. Sorting brings equal
-    ones together; the starts that recur are sorted again, and each adds what
-    it covers beyond the start before it.
+    Windows are compared by 64-bit hashes of their words. Where no hash recurs
+    none are. Else sorting brings equal ones together; the starts that recur are
+    sorted again, and each adds what it covers beyond the start before it.
     """
     w = int(window)
 
-    def starts(ws: Column) -> Column:
-        hashes = F.transform(
-            F.sequence(F.lit(1), F.size(ws) - (w - 1)),
-            lambda i: F.struct(F.xxhash64(*(F.element_at(ws, i + j) for j in range(w))).alias("h"), i.alias("i")),
-        )
-
+    def starts(hashes: Column) -> Column:
         def again(sorted_: Column) -> Column:
             same = F.filter(
                 sorted_,
@@ -62,7 +60,7 @@ def repeat_words(words: Column, window: int = 3) -> Column:
             )
             return F.sort_array(F.transform(same, lambda x: x["i"]))
 
-        return _bind(F.sort_array(hashes), again)
+        return _bind(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), again)
 
     def covered(at: Column) -> Column:
         total = F.aggregate(
@@ -72,7 +70,14 @@ def repeat_words(words: Column, window: int = 3) -> Column:
         )
         return total["n"]
 
-    return _bind(words, lambda ws: F.when(F.size(ws) > w, _bind(starts(ws), covered)).otherwise(0)).cast("long")
+    def counted(hashes: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _bind(starts(hashes), covered)).otherwise(0)
+
+    def hashed(ws: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(ws) - w), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(w))))
+        return F.when(F.size(ws) > w, _bind(each, counted)).otherwise(0)
+
+    return _bind(words, hashed).cast("long")
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -87,16 +92,22 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *(F.col(c) for c in keep), text.alias("__text"))
     t = F.col("__text")
-    words = F.filter(F.split(t, f"[{_SPACE}]+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
+    spaced, bare = t, t
+    for c in _OTHER_SPACE:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    for c in _SYMBOLS:
+        bare = F.replace(bare, F.lit(c), F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" " + _OTHER_SPACE)) != "")
+    # plain replacements and splits at one character are many times cheaper than patterns
+    rows = rows.withColumn("__spaced", spaced).withColumn("__words", F.array_remove(F.split("__spaced", " "), ""))
     return rows.select(
         "doc_id",
         *keep,
-        F.regexp_count(t, F.lit(f"[^{_SPACE}]+")).cast("long").alias("n_words"),
-        (F.length(t) - F.length(F.regexp_replace(t, f"[^{_SPACE}]+", ""))).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.size("__words").cast("long").alias("n_words"),
+        F.length(F.replace("__spaced", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+        (F.octet_length(t) - F.octet_length(bare)).cast("long").alias("n_symbols"),
         _bind(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("__lines"),
-        repeat_words(words).alias("n_repeat_words"),
+        repeat_words(F.col("__words")).alias("n_repeat_words"),
         F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
     ).select(
         "doc_id",
@@ -160,27 +171,29 @@ def fit_cutoffs(
     precision: float = PRECISION,
     steps: int = STEPS,
 ) -> DataFrame:
-    """Rows ``(stratum, rule, cutoff, n_good, n_bad, allowed)`` from the labelled rows of ``counts``.
-
-    ``cutoff`` is null where the rule rejects nothing: if the labels of a
-    stratum are too few to show any of its cutoffs safe, or if bad documents
-    are less than ``precision`` of what each safe one rejects, or so few that an
-    exact test at the same level doesn't show them to be most of it: without
-    that, one bad document with an extreme measure would make a cutoff. Else it
-    is the one of these with the largest difference between the rejected shares of bad
-    and good documents, in the middle of those that reject the same ones. Documents that the base
-    rules reject are not counted, nor are null labels; a document with
-    contradicting labels is good. All labelled rows are used; counts of them,
-    by grid step, are what is shuffled.
+    """Rows ``(stratum, rule, cutoff, n_good, n_bad, n_test, rejected, allowed)`` from the labelled rows of ``counts``.
+
+    ``cutoff`` is null where the rule rejects nothing. To be chosen on the first
+    half of the labels, a cutoff must be safe there, bad documents must be
+    ``precision`` or more of what it rejects, and an exact test must show them
+    to be most of it: without that, one bad document with an extreme measure
+    would make a cutoff. Of these it is the one with the largest difference
+    between the rejected shares of bad and good documents, in the middle of
+    those that reject the same ones. To be used, the stratum's rules up to this
+    one, in falling order of that difference, must together have ``rejected`` no
+    more than ``allowed`` of the ``n_test`` good documents of the second half.
+    Documents that the base rules reject are not counted, nor are null labels;
+    a document with contradicting labels is good. All labelled rows are used;
+    counts of them, by grid step, are what is shuffled.
     """
     marks = labels.select("doc_id", F.expr(good).alias("good")).where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
-    labelled = counts.where("not base_failed").join(marks, "doc_id")
-    steps_of = F.explode(
-        F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.lit(1.0), F.expr(e).cast("double")).alias("measure")) for r, e in RULES.items()))
-    )
+    marks = marks.withColumn("choosing", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8")
+    measures = F.struct(*(F.least(F.lit(1.0), F.expr(e).cast("double")).alias(r) for r, e in RULES.items()))
+    labelled = cut(counts.where("not base_failed").join(marks, "doc_id").select(F.col(stratum).alias("stratum"), "good", "choosing", measures.alias("of")), "labelled")
+    steps_of = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"of.{r}").alias("measure")) for r in RULES)))
     # the step of a measure: the number of grid cutoffs below it, which would reject it
     binned = (
-        labelled.select(F.col(stratum).alias("stratum"), "good", steps_of.alias("x"))
+        labelled.where("choosing").select("stratum", "good", steps_of.alias("x"))
         .groupBy("stratum", F.col("x.rule").alias("rule"), F.ceil(F.col("x.measure") * steps).cast("long").alias("step"))
         .agg(F.count_if("good").alias("goods"), F.count_if(~F.col("good")).alias("bads"))
     )
@@ -206,11 +219,22 @@ def fit_cutoffs(
     precise = safe.where((F.col("gain") > 0) & (F.col("caught") >= precision * both))
     best = precise.where(log_tail(both, F.col("rejected"), 0.5) <= F.ln("level")).groupBy("stratum", "rule").agg(F.max(F.struct("gain", "step", "below")).alias("b"))
     middle = F.expr("(b.below + b.step - 1) / 2") / F.lit(float(steps))
-    return (
-        limits.alias("l")
-        .join(best.alias("c"), same, "left")
-        .select("l.stratum", "l.rule", F.when(F.col("b").isNotNull(), middle).alias("cutoff"), "n_good", "n_bad", "allowed")
-    )
+    found = limits.alias("l").join(best.alias("c"), same, "left")
+    turn = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc_nulls_last("gain"), "rule"))  # a stratum has a row for each rule
+    found = found.select("l.stratum", "l.rule", F.when(F.col("b").isNotNull(), middle).alias("cutoff"), "n_good", "n_bad", F.col("b.gain").alias("gain"))
+    found = cut(found.withColumn("turn", F.when(F.col("cutoff").isNotNull(), turn)), "chosen")
+
+    # the second half: of each good document the first rule, in their order, that rejects it
+    chosen = found.where("cutoff is not null").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("cutoff", "turn")))).alias("rules"))
+    tests = labelled.where("good and not choosing").alias("l").join(small_or_not(cut(chosen, "chosen-rules"), 100_000).alias("c"), F.col("l.stratum").eqNullSafe(F.col("c.stratum"))).select("l.stratum", "of", "rules")
+    turns = [F.when(F.col(f"of.{r}") > F.try_element_at("rules", F.lit(r))["cutoff"], F.try_element_at("rules", F.lit(r))["turn"]) for r in RULES]
+    first = tests.select("stratum", F.array_min(F.array(*turns)).alias("turn")).groupBy("stratum").agg(F.count("*").alias("n_test"), *(F.count_if(F.col("turn") <= k).alias(f"upto{k}") for k in range(1, len(RULES) + 1)))
+    n_tested = found.where("cutoff is not null").agg(F.count_distinct(F.coalesce(F.col("stratum"), F.lit("\u0000"))).alias("n_tested"))
+    tested = first.crossJoin(F.broadcast(n_tested))  # a single row
+    tested = tested.withColumn("allowed", allowed_rejections(F.col("n_test"), F.lit(risk), F.lit(error) / F.col("n_tested")))
+    rejected = F.get(F.array(*(F.col(f"upto{k}") for k in range(1, len(RULES) + 1))), F.col("turn") - 1)
+    out = found.alias("f").join(tested.alias("t"), F.col("f.stratum").eqNullSafe(F.col("t.stratum")), "left").select("f.*", "n_test", rejected.alias("rejected"), "allowed")
+    return out.select("stratum", "rule", F.when(F.col("rejected") <= F.col("allowed"), F.col("cutoff")).alias("cutoff"), "n_good", "n_bad", "n_test", "rejected", "allowed")
 
 
 def judge(
@@ -226,8 +250,9 @@ def judge(
     A document is kept if neither the base rules nor a cutoff of its stratum
     rejects it. Strata are the values of ``stratum_col``, null being one; where
     labels are too few or missing only the base rules hold. Empty texts fail
-    the base rules, rows of null id are judged like any other, repeated rows
-    each give a row, and an empty table gives none.
+    the base rules, very long ones are counted whole, rows of null id are judged
+    like any other, repeated rows each give a row, and an empty table gives
+    none. Other columns are not read, whatever their names.
     """
     text = F.col(text_col).cast("string")
     from_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -255,7 +280,9 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """``docs`` without the rows that ``judge`` rejects; columns pass unchanged.
 
     Rejected rows are found again by id, stratum and a hash of the text, so
-    rows that share an id are judged each on its own text.
+    rows that share an id are judged each on its own text. Null, empty and very
+    long texts, repeated rows, null ids and clashing names are treated as in
+    ``judge``; an empty table stays one.
     """
     verdicts = judge(docs, labels, id_col, text_col, stratum_col, **fit)
     gone = cut(verdicts.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("stratum").alias("__stratum")).distinct(), "rejected")

@@ -1,5 +1,6 @@
 """Counts against brute force, bounds against the binomial distribution, and the choice of cutoffs."""
 
+import hashlib
 import math
 import random
 import re
@@ -116,3 +117,82 @@ def test_nulls_repeats_clashes_and_nothing(spark):
     assert out.columns == docs.columns
     assert sorted((tuple(r)[:3] for r in out.collect()), key=repr) == sorted([(1, good, "en")] * 2 + [(None, good, None)], key=repr)
     assert judge(docs.where("false"), labels).collect() == [] and keep_accepted(docs.where("false"), labels).collect() == []
+
+
+def two_rules(spark, n, seed, bad_symbols, bad_capitals):
+    """Counts of ``n`` documents and labels: of good ones the given shares have many symbols, or many capitals."""
+    r = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        good = r.random() < 0.7
+        symbols = r.random() < (bad_symbols if good else 0.6)
+        capitals = r.random() < (bad_capitals if good else 0.6)
+        rows.append((i, "s", 100, 400, 200 if symbols else 0, 0, 0, 10, 200 if capitals else 3, False))
+        labels.append((i, int(good)))
+    schema = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, base_failed boolean"
+    return spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_the_rules_of_a_stratum_keep_the_promise_together(spark):
+    """Two rules that reject 1.3 % of the good documents each are both safe alone; together they are not, so one is used."""
+    counts, labels = two_rules(spark, 20_000, 3, 0.013, 0.013)
+    found = {r.rule: r for r in fit_cutoffs(counts, labels).collect()}
+    used = [r for r in ("symbols", "capitals") if found[r].cutoff is not None]
+    assert len(used) == 1
+    counts, labels = two_rules(spark, 20_000, 4, 0.005, 0.005)
+    found = {r.rule: r for r in fit_cutoffs(counts, labels).collect()}
+    assert found["symbols"].cutoff is not None and found["capitals"].cutoff is not None
+    n = found["symbols"].n_test
+    assert max(r.rejected for r in found.values() if r.rejected is not None) <= found["symbols"].allowed < 0.02 * n
+
+
+def test_the_promise_holds_over_many_draws_of_labels():
+    """The rule of decision, simulated: rules that truly reject 2.4 % of good documents together pass in at most one draw of twenty."""
+    r, passed, n = random.Random(1), 0, 600
+    allowed, total = -1, 0.0
+    for k in range(n):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(0.02) + (n - k) * math.log1p(-0.02))
+        if total > 0.05:
+            break
+        allowed = k
+    for _ in range(400):
+        passed += sum(r.random() < 0.024 for _ in range(n)) <= allowed
+    assert allowed >= 0 and passed / 400 <= 0.05
+
+
+def brute_cutoffs(counts, labels, risk=0.02, error=0.05, precision=0.9, steps=400):
+    """The cutoffs in plain Python, for one stratum of counts whose other measures are zero."""
+    measure = {"symbols": lambda c: c[4] / 400, "capitals": lambda c: c[8] / 400, "repeats": lambda c: 0.0, "dup_lines": lambda c: 0.0}
+    good = dict(labels)
+    choosing = {c[0]: hashlib.md5(str(c[0]).encode()).hexdigest()[0] < "8" for c in counts}
+
+    def tail(n, k, p):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+    first = [c for c in counts if choosing[c[0]]]
+    n_good = sum(good[c[0]] for c in first)
+    best = {}
+    for rule, f in measure.items():
+        levels = sorted({math.ceil(f(c) * steps) for c in first} - {0}, reverse=True)
+        for step in levels:
+            hit = [good[c[0]] for c in first if math.ceil(f(c) * steps) >= step]
+            goods, bads = sum(hit), len(hit) - sum(hit)
+            gain = bads / (len(first) - n_good) - goods / n_good
+            if tail(n_good, goods, risk) <= error / 4 and gain > 0 and bads >= precision * len(hit) and tail(len(hit), goods, 0.5) <= error / 4 and gain > best.get(rule, (0,))[0]:
+                below = max([math.ceil(f(c) * steps) for c in first if math.ceil(f(c) * steps) < step], default=0)
+                best[rule] = gain, (below + step - 1) / 2 / steps
+    second = [c for c in counts if not choosing[c[0]] and good[c[0]]]
+    used, rules = {}, sorted(best, key=lambda r: (-best[r][0], r))
+    for k in range(1, len(rules) + 1):
+        gone = sum(any(measure[r](c) > best[r][1] for r in rules[:k]) for c in second)
+        if tail(len(second), gone, risk) > error:
+            break
+        used[rules[k - 1]] = best[rules[k - 1]][1]
+    return used
+
+
+@pytest.mark.parametrize("shares", [(0.0, 0.0), (0.005, 0.005), (0.013, 0.001), (0.013, 0.013), (0.03, 0.0)])
+def test_cutoffs_equal_brute_force(spark, shares):
+    counts, labels = two_rules(spark, 4000, 7, *shares)
+    got = {r.rule: r.cutoff for r in fit_cutoffs(counts, labels).collect() if r.cutoff is not None}
+    assert got == pytest.approx(brute_cutoffs([tuple(c) for c in counts.collect()], [(x.doc_id, x.quality) for x in labels.collect()]))
