@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from heronry.llm.components import connected_components
 from heronry.llm.scratch import cut, small_or_not
@@ -27,9 +28,9 @@ from heronry.llm.simhash_dedup import forest
 #: Distinct vectors that centroids are fitted on, at most.
 FIT_ROWS = 20_000
 #: Distinct vectors for each cell, and cells at most.
-CELL_ROWS, MAX_CELLS = 16_384, 1024
-#: Vectors in a tile, about.
-TILE_ROWS = 2048
+CELL_ROWS, MAX_CELLS = 16_384, 2048
+#: Bytes of a tile's vectors in double precision, about; a task holds two tiles.
+TILE_BYTES = 3 << 20
 #: Rings for each linking angle, and what is added to angles for rounding, which near zero is about 1e-8.
 RINGS, SLACK = 4, 1e-6
 
@@ -57,20 +58,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _assign(centroids: np.ndarray):
+    """Rows as they come, ``dim`` and ``embedding`` among them, with their cell and the angle to its centroid."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = b.column(1).to_numpy()
+            dims = b.column("dim").to_numpy()
             cell, angle = np.full(len(dims), -1, np.int32), np.full(len(dims), math.pi)
             if len(own := np.flatnonzero(dims == centroids.shape[1])):
-                s = _matrix(b.column(2).take(pa.array(own))) @ centroids.T
+                s = _matrix(b.column("embedding").take(pa.array(own))) @ centroids.T
                 cell[own] = s.argmax(axis=1)
                 angle[own] = np.arccos(np.clip(s.max(axis=1), -1, 1))
-            yield pa.record_batch([b.column(0), pa.array(cell), pa.array(angle)], names=["gid", "cell", "angle"])
+            yield pa.record_batch([*b.columns, pa.array(cell), pa.array(angle)], names=[*b.schema.names, "cell", "angle"])
 
     return run
 
 
-def _products(threshold: float, rows: int = 512):
+def _near_cells(centroids: np.ndarray, reach: np.ndarray, link: float, rows: int = 256) -> pa.Table:
+    """Pairs of cells, and their centroids' angles, that may hold vectors within ``link`` of each other, block by block."""
+    out = [(np.array([-1]), np.array([-1]), np.array([0.0]))]  # vectors of other lengths are in one cell of their own
+    for r0 in range(0, len(centroids), rows):
+        between = np.arccos(np.clip(centroids[r0 : r0 + rows] @ centroids.T, -1, 1))
+        own = np.arange(len(between))
+        between[own, own + r0] = 0.0
+        i, j = np.nonzero(between - reach[r0 : r0 + rows, None] - reach[None, :] <= link + SLACK)
+        out.append((i + r0, j, between[i, j]))
+    a, b, apart = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"cell": pa.array(a, pa.int32()), "cell_b": pa.array(b, pa.int32()), "apart": apart})
+
+
+def _products(threshold: float, rows: int = 256):
     def unit(side: np.ndarray, gid: np.ndarray, rep: np.ndarray, w: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
         """Link counts by gid and forest edges between reps of one tile with itself or of two tiles."""
         na = int((side == 0).sum())
@@ -135,7 +151,7 @@ def embedding_groups(
     label_col: str = "label",
     fit_rows: int = FIT_ROWS,
     cell_rows: int = CELL_ROWS,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """One row ``(vec_id, n_links, component_id, kept)`` per row of ``vectors``.
 
@@ -144,7 +160,12 @@ def embedding_groups(
     Vectors that are null, empty or zero, that hold null or non-finite
     components, and rows with null id link with nothing (no links, own id as
     component, kept). Repeated rows link with each other; rows of equal id are
-    one node. An empty table gives no rows; other columns are not read.
+    one node. An empty table gives no rows; other columns are not read, whatever
+    their names.
+
+    Equal vectors of a label are found by a 128-bit hash. After that merge,
+    which moves each distinct vector once, vectors are moved once for every
+    unit of work that they are in: one, where a label fits in a tile.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
@@ -155,11 +176,12 @@ def embedding_groups(
         & F.exists("embedding", lambda x: x != 0),
         F.lit(False),
     )
-    base = base.withColumn("good", good)
+    key = ["k1", "k2"]
+    base = base.withColumn("good", good).withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.xxhash64(F.lit(7), "embedding", "label"))
     merged = cut(
         base.where("good")
-        .groupBy("label", "embedding")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
+        .groupBy(*key)
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
         .withColumn("dim", F.size("embedding"))
         .withColumn("gid", F.monotonically_increasing_id()),
         "vectors",
@@ -167,33 +189,29 @@ def embedding_groups(
     n = merged.count()
     dims = merged.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     dim = dims["dim"] if dims else 1
+    tile_rows = tile_rows or max(256, TILE_BYTES // (8 * dim))
     k = min(MAX_CELLS, max(1, math.ceil(n / cell_rows)))
-    sample = merged.where(F.col("dim") == dim).orderBy(F.xxhash64("gid", "rep"), "gid").limit(fit_rows).select("embedding").toArrow()
+    sample = merged.where(F.col("dim") == dim).orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(fit_rows).select("embedding").toArrow()
     centroids = spherical_kmeans(_matrix(sample.column(0).combine_chunks()), k) if sample.num_rows else np.ones((1, dim))
 
-    home = merged.select("gid", "dim", "embedding").mapInArrow(_assign(centroids), "gid long, cell int, angle double")
     # the tile of a vector is decided by the sizes of its cell and ring, so that no tile is much above tile_rows
     link = math.acos(max(-1.0, min(1.0, threshold)))
+    fields = merged.select("gid", "label", "dim", "rep", "w", "embedding")
+    schema = StructType([*fields.schema.fields, StructField("cell", IntegerType()), StructField("angle", DoubleType())])
     ring = F.floor(F.col("angle") / max(link / RINGS, 1e-3)).cast("long")
-    cells = cut(merged.select("gid", "label", "dim", "rep").join(home, "gid").withColumn("ring", ring), "cells")
+    cells = cut(fields.mapInArrow(_assign(centroids), schema).withColumn("ring", ring), "cells")
     whole = F.sum("n").over(Window.partitionBy("label", "dim", "cell"))
     sizes = cells.groupBy("label", "dim", "cell", "ring").agg(F.count("*").alias("n")).withColumn("whole", whole)
     sizes = sizes.select("label", "dim", "cell", "ring", (F.col("whole") > tile_rows).alias("large"), F.ceil(F.col("n") / F.lit(tile_rows)).cast("long").alias("n_tiles"))
     place = ["label", "dim", "cell", "tile"]
     tile = F.when(F.col("large"), F.shiftleft(F.col("ring"), 32) + F.pmod(F.xxhash64("gid"), F.col("n_tiles"))).otherwise(F.lit(0).cast("long"))
-    dealt = cut(
-        cells.join(small_or_not(cut(sizes, "sizes")), ["label", "dim", "cell", "ring"]).withColumn("tile", tile).select("gid", *place, "angle"),
-        "tiles",
-    )
+    dealt = cells.join(small_or_not(cut(sizes, "sizes")), ["label", "dim", "cell", "ring"]).withColumn("tile", tile)
     tiles = cut(dealt.groupBy(*place).agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")), "tile-list")
     # pairs of cells that may hold near vectors; there are MAX_CELLS squared at most
     reach = np.full(len(centroids), -10.0)
     for r in tiles.where("cell >= 0").groupBy("cell").agg(F.max("hi").alias("hi")).collect():
         reach[r["cell"]] = r["hi"]
-    between = np.arccos(np.clip(centroids @ centroids.T, -1, 1))
-    np.fill_diagonal(between, 0.0)
-    i, j = np.nonzero(between - reach[:, None] - reach[None, :] <= link + SLACK)
-    near = pa.table({"cell": pa.array(np.append(i, -1), pa.int32()), "cell_b": pa.array(np.append(j, -1), pa.int32()), "apart": np.append(between[i, j], 0.0)})
+    near = _near_cells(centroids, reach, link)
     left, right = (tiles.select("label", "dim", *(F.col(c).alias(c + s) for c in ("cell", "tile", "lo", "hi"))) for s in ("", "_b"))
     least = F.greatest(F.col("apart") - F.col("hi") - F.col("hi_b"), F.col("lo") - F.col("apart") - F.col("hi_b"), F.col("lo_b") - F.col("apart") - F.col("hi"))
     pairs = (
@@ -208,7 +226,7 @@ def embedding_groups(
     sides = pairs.select(*place, "unit", F.lit(0).alias("side")).union(
         pairs.where("cell <> cell_b or tile <> tile_b").select("label", "dim", "cell_b", "tile_b", "unit", F.lit(1).alias("side"))
     )
-    rows = dealt.join(sides, place).select("unit", "side", "gid").join(merged.select("gid", "rep", "w", "embedding"), "gid")
+    rows = dealt.join(small_or_not(cut(sides, "sides")), place)
     found = cut(
         rows.select("unit", "side", "gid", "rep", "w", "embedding")
         .repartition("unit")
@@ -217,7 +235,7 @@ def embedding_groups(
         "links",
     )
 
-    owned = cut(base.where("good").join(merged.select("label", "embedding", "gid", "rep", "w"), ["label", "embedding"]).select("vec_id", "gid", "rep", "w"), "rows")
+    owned = cut(base.where("good").select("vec_id", *key).join(merged.select(*key, "gid", "rep", "w"), key).select("vec_id", "gid", "rep", "w"), "rows")
     shared = owned.groupBy("vec_id").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("vec_id")
     edges = found.where("a is not null").select("a", "b").union(owned.join(shared, "vec_id").select("vec_id", "rep"))
     components = connected_components(edges)
