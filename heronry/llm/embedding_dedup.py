@@ -31,6 +31,8 @@ FIT_ROWS = 20_000
 CELL_ROWS, MAX_CELLS = 16_384, 2048
 #: Bytes of a tile's vectors in double precision, about; a task holds two tiles.
 TILE_BYTES = 3 << 20
+#: Cells without a centroid: vectors of another length than most, and labels that fit in one tile.
+OTHER_LENGTH, WHOLE_LABEL = -1, -2
 #: Rings for each linking angle, and what is added to angles for rounding, which near zero is about 1e-8.
 RINGS, SLACK = 4, 1e-6
 
@@ -63,7 +65,7 @@ def _assign(centroids: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column("dim").to_numpy()
-            cell, angle = np.full(len(dims), -1, np.int32), np.full(len(dims), math.pi)
+            cell, angle = np.full(len(dims), OTHER_LENGTH, np.int32), np.full(len(dims), math.pi)
             if len(own := np.flatnonzero(dims == centroids.shape[1])):
                 s = _matrix(b.column("embedding").take(pa.array(own))) @ centroids.T
                 cell[own] = s.argmax(axis=1)
@@ -75,7 +77,8 @@ def _assign(centroids: np.ndarray):
 
 def _near_cells(centroids: np.ndarray, reach: np.ndarray, link: float, rows: int = 256) -> pa.Table:
     """Pairs of cells, and their centroids' angles, that may hold vectors within ``link`` of each other, block by block."""
-    out = [(np.array([-1]), np.array([-1]), np.array([0.0]))]  # vectors of other lengths are in one cell of their own
+    alone = np.array([OTHER_LENGTH, WHOLE_LABEL])
+    out = [(alone, alone, np.zeros(2))]
     for r0 in range(0, len(centroids), rows):
         between = np.arccos(np.clip(centroids[r0 : r0 + rows] @ centroids.T, -1, 1))
         own = np.arange(len(between))
@@ -202,10 +205,12 @@ def embedding_groups(
     cells = cut(fields.mapInArrow(_assign(centroids), schema).withColumn("ring", ring), "cells")
     whole = F.sum("n").over(Window.partitionBy("label", "dim", "cell"))
     sizes = cells.groupBy("label", "dim", "cell", "ring").agg(F.count("*").alias("n")).withColumn("whole", whole)
-    sizes = sizes.select("label", "dim", "cell", "ring", (F.col("whole") > tile_rows).alias("large"), F.ceil(F.col("n") / F.lit(tile_rows)).cast("long").alias("n_tiles"))
+    sizes = sizes.withColumn("fits", F.sum("n").over(Window.partitionBy("label", "dim")) <= tile_rows)
+    sizes = sizes.select("label", "dim", "cell", "ring", "fits", (F.col("whole") > tile_rows).alias("large"), F.ceil(F.col("n") / F.lit(tile_rows)).cast("long").alias("n_tiles"))
     place = ["label", "dim", "cell", "tile"]
     tile = F.when(F.col("large"), F.shiftleft(F.col("ring"), 32) + F.pmod(F.xxhash64("gid"), F.col("n_tiles"))).otherwise(F.lit(0).cast("long"))
     dealt = cells.join(small_or_not(cut(sizes, "sizes")), ["label", "dim", "cell", "ring"]).withColumn("tile", tile)
+    dealt = dealt.withColumn("cell", F.when(F.col("fits"), WHOLE_LABEL).otherwise(F.col("cell"))).drop("fits")
     tiles = cut(dealt.groupBy(*place).agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")), "tile-list")
     # pairs of cells that may hold near vectors; there are MAX_CELLS squared at most
     reach = np.full(len(centroids), -10.0)
