@@ -26,7 +26,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
     differ by no more than the largest document, so a shard may be empty when
     there are few documents. ``slot`` counts from 0 in each shard without gaps,
     in the total order. Null ids come first among equal texts, repeated rows
-    take slots of their own, and an empty table gives no rows.
+    take slots of their own, and an empty table gives no rows. Texts of any
+    length count whole; other columns are not read, whatever their names.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
@@ -38,10 +39,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
             (F.octet_length(text) + overhead).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
             F.xxhash64(text).alias("h"),
+            F.monotonically_increasing_id().alias("nth_row"),
         ),
         "sizes",
     )
-    order = ["h", "doc_id", "size", "text_crc32"]
+    # the row's number, fixed by the written table, only tells equal rows apart, so that ranges can split any number of them
+    order = ["h", "doc_id", "size", "text_crc32", "nth_row"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
     # one row a partition: the totals of those before it
@@ -63,13 +66,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
         .join(small_or_not(offsets), "part")
         .withColumn("twice_middle", 2 * (F.col("bytes_before") + F.col("upto")) - F.col("size"))
         .withColumn("rank", F.col("rows_before") + F.col("nth") - 1)
-        .withColumn(
-            "shard",
-            F.least(
-                F.lit(n_shards - 1),
-                F.floor(F.col("twice_middle").cast("decimal(20,0)") * F.lit(n_shards) / (2 * F.col("all_bytes")).cast("decimal(20,0)")).cast("int"),
-            ),
-        )
+        .withColumn("shard", F.expr(f"least({n_shards - 1}, int(cast(twice_middle as decimal(20,0)) * {n_shards} div cast(2 * all_bytes as decimal(20,0))))"))
         .select("doc_id", "size", "text_crc32", "shard", "rank")
     )
     placed = cut(placed, "placed")

@@ -4,8 +4,11 @@ import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from heronry.llm import sharding
+from heronry.llm.scratch import cut
 from heronry.llm.sharding import assign_shards, write_shards
 
 
@@ -14,6 +17,46 @@ def rows(n=500):
     return hot + [(i, "x" * (i * 7 % 300)) for i in range(n // 3, n)] + [(n, None), (n + 1, ""), (n + 2, "é" * 40)]
 
 
+def slow_shards(data, n_shards):
+    """Sorted ``(doc_id, size, crc, shard, slot)``: one running sum over one sorted list."""
+    keyed = []
+    for i, t in data:
+        raw = (t or "").encode()
+        h = xxhash.xxh64_intdigest(raw, 42)
+        keyed.append((h - (1 << 64) if h >> 63 else h, i is not None, i or 0, len(raw) + 16, zlib.crc32(raw)))
+    total, upto, slots, out = sum(k[3] for k in keyed), 0, defaultdict(int), []
+    for _, known, i, size, crc in sorted(keyed):
+        shard = min(n_shards - 1, (2 * upto + size) * n_shards // (2 * total))
+        out.append((i if known else None, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+        upto += size
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("n_shards", [1, 7, 40])
+def test_against_one_running_sum(spark, n_shards):
+    """Among them a third of all rows that are equal and have no id."""
+    data = rows() + [(None, "copied without an id")] * 300 + [(7, "same text")] * 5 + [(-3, None), (600, "long " * 20_000)]
+    got = assign_shards(spark.createDataFrame(data, "doc_id long, text string").repartition(5), n_shards)
+    assert sorted(map(tuple, got.collect()), key=repr) == slow_shards(data, n_shards)
+
+
+def test_equal_rows_are_split_over_ranges(spark, monkeypatch):
+    """Rows that are equal in all they hold don't end in one task."""
+    ranges = {}
+
+    def watched(df, name):
+        out = cut(df, name)
+        if name == "ranges":
+            ranges["n"] = out.select("part").distinct().count()
+        return out
+
+    monkeypatch.setattr(sharding, "cut", watched)
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("copy").alias("text"))
+    assert assign_shards(df, 10).groupBy("shard").count().where("count = 400").count() == 10
+    assert ranges["n"] > 1
+
+
 @pytest.mark.parametrize("n_shards", [1, 7, 40])
 def test_shards_are_balanced_and_slots_gapless(spark, n_shards):
     data = rows()
