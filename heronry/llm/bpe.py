@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronry.llm.scratch import text_batches
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters after which a long text is split at the next safe boundary.
 PIECE_CHARS = 1 << 16
@@ -101,7 +103,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 decoded = [decode(x, at, pattern) for x in ids]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary"
     )
 
@@ -115,7 +117,7 @@ def detokenize(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
             decoded = [decode(x or [], at, pattern) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(decoded, pa.binary())], names=["doc_id", "decoded"])
 
-    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(
+    return text_batches(tokens).select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(
         run, f"doc_id {tokens.schema[id_col].dataType.simpleString()}, decoded binary"
     )
 
@@ -150,4 +152,4 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.record_batch(columns, names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.scratch import cut
+from heronry.llm.scratch import cut, text_batches
 
 #: Documents that the scorer is trained on, at most: half of them from either class.
 FIT_DOCS = 4096
@@ -206,7 +206,7 @@ def train(sketches: np.ndarray, target: np.ndarray, rounds: int = 300, decay: fl
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
 def vote_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

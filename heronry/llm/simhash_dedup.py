@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.llm.components import connected_components
-from heronry.llm.scratch import cut, small_or_not
+from heronry.llm.scratch import cut, small_or_not, text_batches
 
 #: Rows of a bucket that are compared in one piece; larger ones are split by further bits.
 BUCKET_ROWS = 8192
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(x.as_py(), words_per_shingle) for x in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, fp long"
     )
 

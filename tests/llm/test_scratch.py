@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from heronry.llm.scratch import cut, shared_dir, small_or_not
+from heronry.llm.scratch import BATCH_BYTES, BATCH_ROWS, cut, shared_dir, small_or_not, text_batches
 
 
 def plan(df):
@@ -48,3 +48,13 @@ def test_a_cluster_must_name_a_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_text_batches_leave_what_a_user_chose(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    session = spark.newSession()
+    text_batches(session.range(1))
+    assert [int(session.conf.get(n).rstrip("b")) for n in names] == [BATCH_ROWS, BATCH_BYTES]
+    session.conf.set(names[0], "77")
+    text_batches(session.range(1))
+    assert session.conf.get(names[0]) == "77"
