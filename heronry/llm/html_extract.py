@@ -50,16 +50,27 @@ _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form
 
 
 class _Node:
-    """An open element. ``skip``: nothing in it counts. ``noise``: the nearest element around, itself included, whose name says that it is beside the article."""
+    """An open element. ``skip``: nothing in it counts. ``noise``: the nearest element around, itself included, whose name says that it is beside the article.
 
-    __slots__ = ("tag", "key", "parent", "skip", "noise", "readers", "whole", "score", "worth", "marks")
+    What is asked of the elements around is kept here, so that no question
+    climbs a page of any depth. ``around``: the nearest container, itself
+    included, or the root. ``meant``: the outermost ``_ARTICLE`` element, itself
+    included. ``among_readers``: a named element here or around is what readers
+    write. ``length``: of the path.
+    """
+
+    __slots__ = ("tag", "key", "parent", "skip", "noise", "readers", "whole", "score", "worth", "marked", "around", "meant", "among_readers", "length")
 
     def __init__(self, tag: str, key: str, parent: _Node | None, skip: bool, named: str = "") -> None:
         self.tag, self.key, self.parent, self.skip = tag, key, parent, skip
         self.readers, self.whole = named == "readers", named == "whole"
         self.noise: _Node | None = self if named else parent.noise if parent is not None else None
         self.score = self.worth = 0.0
-        self.marks = 0  # of a named element: blocks in it that are part of an article
+        self.marked = False  # of a named element: a block in it is part of an article
+        self.around: _Node = self if parent is None or tag in _CONTAINER else parent.around
+        self.meant: _Node | None = (parent.meant if parent is not None else None) or (self if tag in _ARTICLE else None)
+        self.among_readers: bool = self.readers or (parent is not None and parent.among_readers)
+        self.length: int = len(key) + (parent.length + 1 if parent is not None else 0)
 
     def path(self) -> str:
         steps, node = [], self
@@ -107,7 +118,7 @@ def _content(raw: list[tuple[str, _Node, float]], seen: list[_Node]) -> tuple[li
     """
     named = {id(n): n for _, leaf, _ in raw if (n := leaf.noise) is not None}
     for n in list(named.values()):
-        while (n := n.parent.noise if n.parent is not None else None) is not None:
+        while (n := n.parent.noise if n.parent is not None else None) is not None and id(n) not in named:
             named[id(n)] = n
     wrappers: set[int] = set()
     if named:
@@ -119,40 +130,39 @@ def _content(raw: list[tuple[str, _Node, float]], seen: list[_Node]) -> tuple[li
         for _, leaf, worth in raw:
             if leaf.noise is None:
                 free += worth
-                article = article or _meant(leaf) is not None
+                article = article or leaf.meant is not None
             else:
                 leaf.noise.worth += worth
         for n in named.values():
-            if not n.readers and ((n.marks and not article) or ((id(n) in outer or n.whole) and n.worth > free)):
+            if not n.readers and ((n.marked and not article) or ((id(n) in outer or n.whole) and n.worth > free)):
                 wrappers.add(id(n))
 
+    known: dict[int, bool] = {}
+
     def open_(n: _Node | None) -> bool:
-        while n is not None:
-            if id(n) not in wrappers:
-                return False
+        """Whether the named element and all those around it are wrappers."""
+        line = []
+        while n is not None and id(n) in wrappers and id(n) not in known:
+            line.append(n)
             n = n.parent.noise if n.parent is not None else None
-        return True
+        found = n is None or known.get(id(n), False)
+        known.update((id(x), found) for x in line)
+        return found
 
     kept = [r for r in raw if open_(r[1].noise)]
     for last in (False, True):
         if kept:
             break
         wrappers |= {i for i, n in named.items() if last or not n.readers}
+        known.clear()
         kept = [r for r in raw if open_(r[1].noise)]
     for _, node, worth in kept:
-        node = _around(node)
+        node = node.around
         node.score += worth
-        above = _around(node.parent) if node.parent is not None else None
+        above = node.parent.around if node.parent is not None else None
         if above is not None and above.tag in _CONTAINER:
             above.score += 0.5 * worth
-    return [(text, _around(n)) for text, n, _ in kept], [n for n in seen if open_(n.noise)]
-
-
-def _around(node: _Node) -> _Node:
-    """The nearest container, the element itself included; the root without one."""
-    while node.tag not in _CONTAINER and node.parent is not None:
-        node = node.parent
-    return node
+    return [(text, n.around) for text, n, _ in kept], [n for n in seen if open_(n.noise)]
 
 
 def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
@@ -172,15 +182,11 @@ def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
             if block:
                 worth = max(0.0, len(block) - 2.0 * links) * (0.3 if stack[-1].tag == "li" else 1.0)
                 blocks.append((block, stack[-1], worth))
-                if stack[-1].noise is not None and (article := _meant(stack[-1])) is not None and article.parent is not None:
-                    around = []
+                if stack[-1].noise is not None and (article := stack[-1].meant) is not None and article.parent is not None and not article.parent.among_readers:
                     n = article.parent.noise
-                    while n is not None:
-                        around.append(n)
+                    while n is not None and not n.marked:  # those around a marked one are marked
+                        n.marked = True
                         n = n.parent.noise if n.parent is not None else None
-                    if not any(n.readers for n in around):
-                        for n in around:
-                            n.marks += 1
         links = 0
 
     while pos < end:
@@ -256,16 +262,6 @@ def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
     return found, open_ or [root]
 
 
-def _meant(node: _Node | None) -> _Node | None:
-    """The outermost element around this one, itself included, that is an article by its meaning."""
-    found = None
-    while node is not None:
-        if node.tag in _ARTICLE:
-            found = node
-        node = node.parent
-    return found
-
-
 def _reopen(stack: list[_Node]) -> None:
     """Let the text of open inline elements count that were skipped for their names alone."""
     for at, n in enumerate(stack):
@@ -281,12 +277,7 @@ def _reopen(stack: list[_Node]) -> None:
 def _best(containers: list[_Node]) -> _Node:
     """The container with the highest score, or the article around it; the first of equals."""
     top = max(containers, key=lambda n: n.score)
-    node: _Node | None = top
-    while node is not None:
-        if node.tag in _ARTICLE:
-            top = node
-        node = node.parent
-    return top
+    return top.meant or top
 
 
 def page_paths(page: str | None) -> tuple[str, float, bytes, list[bytes]] | None:
@@ -327,18 +318,21 @@ def main_text(page: str | None, paths: list[str] | None = None) -> str:
     blocks, containers = parse(page or "")
     if not blocks:
         return ""
-    by_path: dict[str, set[int]] = {}
-    for n in containers:
-        by_path.setdefault(n.path(), set()).add(id(n))
-    for chosen in (by_path[p] for p in [*(paths or ()), _best(containers).path()] if p in by_path):
+    for path in [*(paths or ()), _best(containers).path()]:
+        # only paths of its length are spelled out, so that deep pages don't spell one a level
+        chosen = {id(n) for n in containers if n.length == len(path) and n.path() == path}
+        if not chosen:
+            continue
         inside: dict[int, bool] = {}
 
         def within(n: _Node | None) -> bool:
-            if n is None:
-                return False
-            if id(n) not in inside:
-                inside[id(n)] = id(n) in chosen or within(n.parent)
-            return inside[id(n)]
+            line = []
+            while n is not None and id(n) not in inside and id(n) not in chosen:
+                line.append(id(n))
+                n = n.parent
+            found = n is not None and inside.get(id(n), True)
+            inside.update((i, found) for i in line)
+            return found
 
         if found := [b for b, n in blocks if within(n)]:
             return "\n\n".join(found)

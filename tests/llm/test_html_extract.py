@@ -38,6 +38,25 @@ def test_odd_pages_do_not_fail(page):
     assert isinstance(main_text(page), str)
 
 
+DEEP = 20_000
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><article>" + "<div>" * DEEP + f"<p>{P1}</p>" + "</div>" * DEEP + "</article></body>", T1),
+        ("<body><div class='post'>" + "<div>" * DEEP + f"<p>{P1}", T1),
+        ("<body><article>" + f"<ul><li>{P1}" * DEEP + "</article></body>", "\n\n".join([T1] * DEEP)),
+        ("<body>" + "<div class='menu'>" * DEEP + f"<p>{P1}", T1),
+        ("<body><article><p>" + "<b>" * DEEP + P1, T1),
+    ],
+    ids=["containers in an article", "containers", "lists", "named elements", "inline elements"],
+)
+def test_pages_of_any_depth(page, text):
+    """Elements may be nested as deep as a page is long; work is in proportion to the page, or this would take minutes."""
+    assert main_text(page) == text
+
+
 def test_nothing_is_capped():
     words = "word " * 200_000
     assert main_text(f"<article><p>{words}</p></article>") == words.strip()
