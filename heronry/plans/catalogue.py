@@ -150,8 +150,10 @@ def bm25_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S_BM25} SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS BIGINT) AS gather_rank FROM bm25 QUALIFY gather_rank < {GATHER}")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``bm25_gather``, from postings and statistics made of the raw documents in the plan itself."""
-    counted = term_counts(table(spark, sf_dir, "documents"), Analyzer())
+    """As ``bm25_gather``, from the raw documents: analyzed once for these terms, then read as postings and as statistics."""
+    path = files.temporary(spark, "counted")
+    term_counts(table(spark, sf_dir, "documents"), Analyzer(), only=TERMS).write.parquet(path)
+    counted = spark.read.parquet(path)
     scored = positive(bm25_scores(postings(counted), corpus_stats(counted), TERMS))
     return _gathered(scored).select("doc_id", F.round("gather_score", 6).alias("score"), "gather_rank")
 
