@@ -194,6 +194,8 @@ def format_chats(turns: DataFrame, schemas: Schemas | None = None, conv_col: str
     content. Without ``schemas`` any tool and any JSON object passes.
     Arguments with a key twice are no valid JSON (``json``, serialised as the
     string they are), and integers beyond 38 digits become floating numbers.
+    Arguments that Spark can't read, as they are nested beyond its parser's
+    depth, are ``json`` as well; a turn that it can't read is a message.
 
     Null conversations are one conversation, of null turns the order is first;
     rows of equal turn are ordered by what they are and by text; repeated rows

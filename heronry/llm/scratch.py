@@ -9,6 +9,7 @@ below the system's temporary one is used, and only with a local master.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -37,12 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _clean() -> None:
     for spark, path in _made:
-        try:
+        with contextlib.suppress(Exception):  # a session may be gone; the cluster's own retention removes its folders
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone; the cluster's own retention removes the folder
-            return
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

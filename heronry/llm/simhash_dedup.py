@@ -266,7 +266,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with one document of each near-duplicate group, the one of smallest id.
 
     Rows are judged by their id: rows that share an id stay or go together, and
-    rows with a null id, which can't be named, stay. Columns pass unchanged.
+    rows with a null id, which can't be named, stay. Of documents without a word,
+    null and empty texts alike, one stays; texts of any length are read whole.
+    Columns pass unchanged, whatever their names; an empty table stays one.
     """
     groups = simhash_groups(docs, id_col, text_col, **options)
     gone = cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")

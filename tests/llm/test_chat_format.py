@@ -37,6 +37,16 @@ def test_plain_turns(spark):
         assert r.line == json.dumps({"content": text, "role": role}, ensure_ascii=False, separators=(",", ":"))
 
 
+def test_json_nested_beyond_the_parser(spark):
+    """Such arguments are a fault of the call, such turns are messages; both are serialised whole."""
+    deep = "[" * 3000 + "]" * 3000
+    arguments, turn = f'{{"text":{deep}}}', f'{{"content":{deep},"tool_calls":[]}}'
+    got = formatted(spark, [(1, 0, "assistant", calls(call("a", arguments=arguments))), (1, 1, "assistant", turn)])
+    assert [(r.kind, r.status) for r in got] == [("message", "ok"), ("call", "json"), ("message", "ok")]
+    assert json.loads(got[1].line)["arguments"] == arguments
+    assert json.loads(got[2].line)["content"] == turn
+
+
 def test_results_follow_their_calls_and_calls_their_needs(spark):
     rows = [
         (1, 0, "user", "go"),

@@ -1,8 +1,11 @@
 """Tables in the shared folder, and what is broadcast."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from heronry.llm import scratch
 from heronry.llm.scratch import BATCH_BYTES, BATCH_ROWS, cut, shared_dir, small_or_not, text_batches
 
 
@@ -19,6 +22,14 @@ def test_a_cut_has_the_rows_and_schema_but_no_lineage(spark):
     assert cut(df.where("false")).dtypes == df.dtypes
 
 
+def test_a_folder_that_cannot_be_removed_does_not_keep_the_others(spark, monkeypatch):
+    path = f"{shared_dir(spark)}/to-remove"
+    spark.range(1).write.parquet(path)
+    monkeypatch.setattr(scratch, "_made", [(None, "gone"), (spark, path)])
+    scratch._clean()
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_only_small_tables_are_broadcast(spark):
     t = cut(spark.range(100))
     assert "broadcast" in plan(small_or_not(t))
