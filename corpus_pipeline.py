@@ -50,7 +50,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``, each written as Parquet and read by the next."""
+    """All stages on the documents of ``sf_dir``, each written as Parquet and read by the next.
+
+    A row for each draw of the mix, with the document's columns and its tokens.
+    Null, empty and very long texts, ties, repeated rows and clashing names are
+    treated as each stage's operator says; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
