@@ -35,6 +35,16 @@ def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1
     return idf * tf / (k1 * (1 - b + b * dl / avgdl) + tf)
 
 
+def added_by_term(term: Column, weight: Column) -> Column:
+    """The sum of a group's weights, added up in the order of their terms.
+
+    Sums of doubles depend on their order, which a shuffle leaves open: documents
+    with equal counts would differ in the last bit, and ties not go to the smaller id.
+    """
+    parts = F.sort_array(F.collect_list(F.struct(term.alias("term"), weight.alias("w"))))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["w"])
+
+
 def _wanted(terms: Sequence[str]) -> dict[str, int]:
     """How often the query has each of its terms."""
     return dict(Counter(terms))
@@ -73,7 +83,7 @@ def bm25_scores(rows: DataFrame, stats: DataFrame, terms: Sequence[str], k1: flo
     one = F.broadcast(stats)  # a single row
     found = hits.join(F.broadcast(document_frequency(hits)), "term").crossJoin(one)
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"), k1, b)
-    return found.withColumn("w", weight * times).groupBy("doc_id").agg(F.sum("w").alias("score"))
+    return found.groupBy("doc_id").agg(added_by_term(F.col("term"), weight * times).alias("score"))
 
 
 def positive(scored: DataFrame, score: str = "score") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.text import B, K1
-from heronry.operators.lexical import bm25_weight, document_frequency, positive
+from heronry.operators.lexical import added_by_term, bm25_weight, document_frequency, positive
 from heronry.operators.maxsim import QUERY_BYTES
 from heronry.operators.rank import gather_top, rank
 
@@ -36,7 +36,7 @@ def bm25_many(rows: DataFrame, stats: DataFrame, queries: Mapping[str, Sequence[
     weighed = hits.join(small(document_frequency(hits)), "term").crossJoin(F.broadcast(stats))  # stats is one row
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"), k1, b)
     scored = weighed.select("term", "doc_id", weight.alias("w")).join(small(asked), "term")
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    return scored.groupBy("query_id", "doc_id").agg(added_by_term(F.col("term"), F.col("w") * F.col("times")).alias("score"))
 
 
 def maxsim_pairs(tokens: DataFrame, candidates: DataFrame, matrices: Mapping[str, np.ndarray]) -> DataFrame:

@@ -14,6 +14,7 @@ from heronry.operators import subset as subsets
 from heronry.operators.lexical import as_candidates, bm25_scan, bm25_scores, corpus_stats, match_scores, positive, postings
 from heronry.operators.presence import delete, present_rows, upsert
 from heronry.operators.rank import check_scores, gather_top, rank
+from heronry.plans.batch import bm25_many
 
 NAN, INF = float("nan"), float("inf")
 
@@ -155,6 +156,21 @@ def test_bm25_equals_a_loop(spark):
     assert bm25_scores(postings(counted), corpus_stats(counted), []).collect() == [] == bm25_scan(counted, []).collect()
 
 
+def test_equal_counts_have_equal_scores_in_any_order_of_postings(spark):
+    """Sums in the order of arrival differ in the last bit, and then ties don't go to the smaller id."""
+    terms = list("abcdef")
+    tf, df = dict(zip(terms, (1, 2, 3, 1, 5, 7))), dict(zip(terms, (30, 17, 9, 5, 3, 2)))
+    r, rows = random.Random(3), []
+    for doc in range(64):
+        rows += [(t, doc, tf[t], 40) for t in r.sample(terms, 6)]
+    rows += [(t, 1000 + i, 1, 9) for t in terms for i in range(df[t])]
+    stats = spark.createDataFrame([(200, 37.3)], "n long, avgdl double")
+    held = spark.createDataFrame(rows, "term string, doc_id long, tf int, dl long").coalesce(1)
+    one = {score for doc, score in bm25_scores(held, stats, terms).collect() if doc < 64}
+    many = {x.score for x in bm25_many(held, stats, {"q": terms}).collect() if x.doc_id < 64}
+    assert len(one) == 1 and one == many
+
+
 def test_scores_that_are_not_positive_are_no_candidates(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", NAN), ("d", -1.0), ("e", 2.0)], "doc_id string, score double")
     got = as_candidates(positive(df), "k", 5, "p").orderBy("gather_rank").collect()
