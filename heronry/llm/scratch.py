@@ -16,13 +16,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronry.functions.text import BATCH_BYTES, BATCH_ROWS, text_batches  # noqa: F401  (the operators' import)
+
 #: Bytes of Parquet files that are broadcast, at most.
 BROADCAST_BYTES = 32 << 20
 
-#: Rows and bytes of an Arrow batch of texts, where the session has Spark's own defaults for them.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(BATCH_BYTES))}
-
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -70,17 +68,3 @@ def small_or_not(table: DataFrame, rows: int = 1_000_000, size: int = BROADCAST_
     if int(str(stats.sizeInBytes())) > size:
         return table
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's Arrow batches are set to sizes that suit whole texts.
-
-    Batches are held at once by executor and Python worker, in buffers that
-    double as they grow, for every task. The session keeps the setting, as plans
-    read it when they run; values that a user chose stay.
-    """
-    conf = df.sparkSession.conf
-    for name, (default, ours) in _BATCHES.items():
-        if conf.get(name).lower() in (default, f"{default}b"):
-            conf.set(name, ours)
-    return df

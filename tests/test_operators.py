@@ -2,13 +2,15 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from heronry import Subset
-from heronry.functions.text import Analyzer, term_counts, words
+from heronry.functions.text import BATCH_ROWS, BATCH_TERMS, Analyzer, term_counts, words
 from heronry.functions.vectors import all_finite, dot, int8_codes, int8_decode, int8_scale, l2_norm, normalize
 from heronry.operators import subset as subsets
 from heronry.operators.lexical import as_candidates, bm25_scan, bm25_scores, corpus_stats, match_scores, positive, postings
@@ -156,6 +158,21 @@ def test_bm25_equals_a_loop(spark):
     assert bm25_scores(postings(counted), corpus_stats(counted), []).collect() == [] == bm25_scan(counted, []).collect()
 
 
+def test_term_counts_send_parts_of_bounded_size(spark, monkeypatch):
+    """Whatever batches a worker is given: its memory must not grow with a task's documents."""
+    session = spark.newSession()
+    df = session.createDataFrame([(0, "a", "x")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = term_counts(df, Analyzer(), keep=("lang",))
+    assert int(session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == BATCH_ROWS
+    texts = [" ".join(f"w{(7 * i + j) % 5000} w{i}" for j in range(150)) for i in range(2000)] + ["", None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array([str(i) for i in range(len(texts))])], names=["doc_id", "text", "lang"])
+    parts = list(run(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 1 and max(len(p.column("terms").keys) for p in parts) < BATCH_TERMS + 300
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(r["doc_id"], r["dl"], dict(r["terms"]), r["lang"]) for r in rows] == [(i, len((t or "").split()), Counter((t or "").split()), str(i)) for i, t in enumerate(texts)]
+
+
 def test_equal_counts_have_equal_scores_in_any_order_of_postings(spark):
     """Sums in the order of arrival differ in the last bit, and then ties don't go to the smaller id."""
     terms = list("abcdef")
