@@ -1,12 +1,15 @@
 """The search pipeline with stages in memory, and with stores and lexical indexes."""
 
+import os
+import uuid
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
 
 from heronry import Candidate, Feature, Gathered, IncompatibleIndexError, IncompatibleQueryError, MaxSimReranker, Query, Representation, ResourceBudget, Scored, SearchPipeline, Subset, VectorStore, VectorStoreWriter, search_many
-from heronry.functions.text import Analyzer
+from heronry.functions.text import BATCH_ROWS, Analyzer
+from heronry.plans import catalogue
 from heronry.plans.gather import Bm25Generator, TermMatchGenerator
 from heronry.plans.lexical_index import LexicalCandidateGenerator, publish
 
@@ -274,3 +277,29 @@ def test_a_batch_equals_its_single_searches(spark, documents, tmp_path):
             assert [(d.rank, d.document_id, d.score) for d in one.documents] == found
     with pytest.raises(ValueError):
         search_many(rows, stats, terms, 1, 2)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("name", ["search_int8"])
+def test_a_session_s_first_search_builds_its_index_from_bounded_batches(spark, tmp_path, monkeypatch, name):
+    """With Spark's own batches of 10,000 rows a worker of the build held all 1,000 texts of the table's task at once."""
+    kind, session = type(spark.range(1)), spark.newSession()
+    plain, notes = kind.mapInArrow, str(tmp_path)
+
+    def noting(self, run, schema):
+        def noted(batches):
+            def each():
+                for b in batches:
+                    if "text" in b.schema.names:
+                        open(f"{notes}/{b.num_rows}-{uuid.uuid4().hex}", "w").close()
+                    yield b
+
+            return run(each())
+
+        return plain(self, noted, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", noting)
+    monkeypatch.setattr(catalogue, "_built", {})
+    assert catalogue.QUERIES[name](session, "/root/testdata/sf0.01").collect()
+    rows = [int(f.split("-")[0]) for f in os.listdir(notes)]
+    assert max(rows) <= BATCH_ROWS and sum(rows) >= 900
