@@ -280,7 +280,7 @@ def test_a_batch_equals_its_single_searches(spark, documents, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
-@pytest.mark.parametrize("name", ["search_int8", "search_next_generation", "batch_search"])
+@pytest.mark.parametrize("name", ["search_int8", "search_next_generation", "batch_search", "search_diagnostics"])
 def test_a_session_s_first_search_builds_its_index_from_bounded_batches(spark, tmp_path, monkeypatch, name):
     """With Spark's own batches of 10,000 rows a worker of the build held all 1,000 texts of the table's task at once."""
     kind, session = type(spark.range(1)), spark.newSession()
